@@ -105,7 +105,7 @@ def _evaluate(sizes: DataFrame, m: Moments, ratios: Sequence[float]) -> dict[flo
         rss = yy - xy @ beta
         free = m.n - p
         criterion = free * math.log(rss / free) + row[1] + np.linalg.slogdet(xx)[1]
-        found[row[0]] = (criterion, beta, xx, rss / free)
+        found[row[0]] = (float(criterion), beta, xx, float(rss / free))
     return found
 
 
@@ -139,7 +139,7 @@ def random_intercept_fit(df: DataFrame, response: str, predictors: Sequence[str]
     if 0 < best < count:
         a, b, c = scores[best - 1 : best + 2]
         middle += RATIO_STEPS[-1] * 0.5 * (a - c) / (a - 2 * b + c)
-    ratio = 10.0**middle
+    ratio = float(10.0**middle)
     final = _evaluate(sizes, m, [ratio, 0.0])
     if final[0.0][0] <= final[ratio][0]:
         ratio = 0.0
