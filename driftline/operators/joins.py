@@ -76,12 +76,13 @@ def nearest_in_time(
         )
     )
     order = [F.col("_t").asc_nulls_last(), F.col("_kind").asc(), F.col("_sample").asc()]
-    ordinary, hot = split_hot(line, [key])
+    split = split_hot(line, [key])
     found = None
-    if ordinary is not None:
-        found = _look_both_ways(ordinary, [key], order)
-    if hot is not None:
-        across = _look_both_ways(_lend_fixes(range_slices(hot, [key], order), key), [key, SLICE], order)
+    if split.ordinary is not None:
+        found = _look_both_ways(split.ordinary, [key], order)
+    if split.hot is not None:
+        sliced = range_slices(split.hot, [key], order, split.hot_rows)
+        across = _look_both_ways(_lend_fixes(sliced, key), [key, SLICE], order)
         across = across.drop(SLICE)
         found = across if found is None else found.unionByName(across)
     gap_before = F.col("_t") - F.col("_prev.t")

@@ -27,15 +27,15 @@ def group_quantiles(
     if approximate:
         sketches = [F.percentile_approx(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
         return df.groupBy(*keys).agg(*extra, *sketches)
-    ordinary, hot = split_hot(df, keys)
+    split = split_hot(df, keys)
     result = None
-    if ordinary is not None:
+    if split.ordinary is not None:
         exact = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
-        result = ordinary.groupBy(*keys).agg(*extra, *exact)
-    if hot is not None:
-        ranked = _ranked_quantiles(hot, keys, wanted)
+        result = split.ordinary.groupBy(*keys).agg(*extra, *exact)
+    if split.hot is not None:
+        ranked = _ranked_quantiles(split, keys, wanted)
         if extra:
-            ranked = _beside(hot.groupBy(*keys).agg(*extra), ranked, keys)
+            ranked = _beside(split.hot.groupBy(*keys).agg(*extra), ranked, keys)
         result = ranked if result is None else result.unionByName(ranked)
     return result
 
@@ -49,23 +49,23 @@ def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     )
 
 
-def _ranked_quantiles(hot, keys, wanted):
+def _ranked_quantiles(split, keys, wanted):
     by_column: dict[str, dict[str, float]] = {}
     for name, (column, p) in wanted.items():
         by_column.setdefault(column, {})[name] = p
-    result = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    result = split.hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     for column, probabilities in by_column.items():
-        result = _beside(result, _ranked_column(hot, keys, column, probabilities), keys)
+        result = _beside(result, _ranked_column(split, keys, column, probabilities), keys)
     return result.select(*keys, *wanted)
 
 
-def _ranked_column(hot, keys, column, probabilities):
+def _ranked_column(split, keys, column, probabilities):
     copies = (
-        hot.where(F.col(column).isNotNull())
+        split.hot.where(F.col(column).isNotNull())
         .groupBy(*keys, F.col(column).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    sliced = range_slices(copies, keys, [F.col("_v").asc()])
+    sliced = range_slices(copies, keys, [F.col("_v").asc()], split.hot_rows)
     offsets = slice_offsets(sliced, keys, F.col("_copies"), "_n")
     asked = F.explode(
         F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()])

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.session import group_limit, settle
+from driftline.session import broadcast_if_small, group_limit, settle
 
 SLICE = "_slice"
 
@@ -29,30 +30,37 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame | None, DataFrame | None]:
-    """Separate rows of groups within the limit from rows of larger groups.
+@dataclass(frozen=True)
+class Split:
+    """Rows of groups within the limit, rows of larger groups, and how many the latter are."""
 
-    Returns ``(ordinary, hot)``.  The hot key list has at most
-    ``rows / limit`` entries, so it is safe to broadcast.
-    """
-    limit = group_limit(df.sparkSession)
-    if not keys:
-        return (df, None) if df.count() <= limit else (None, df)
-    sizes = df.groupBy(*keys).count()
-    hot_keys = sizes.where(F.col("count") > limit).select(*keys).collect()
-    if not hot_keys:
-        return df, None
-    schema = df.select(*keys).schema
-    listed = F.broadcast(df.sparkSession.createDataFrame(hot_keys, schema))
-    return match_keys(df, listed, keys, "left_anti"), match_keys(df, listed, keys, "left_semi")
+    ordinary: DataFrame | None
+    hot: DataFrame | None
+    hot_rows: int = 0
 
 
-def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def split_hot(df: DataFrame, keys: Sequence[str]) -> Split:
+    """Separate rows of groups within the row limit from rows of larger groups."""
+    limit = group_limit(df.sparkSession)
+    if not keys:
+        rows = df.count()
+        return Split(df, None) if rows <= limit else Split(None, df, rows)
+    sizes = df.groupBy(*keys).count().where(F.col("count") > limit)
+    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("count")).first()
+    if not groups:
+        return Split(df, None)
+    listed = broadcast_if_small(sizes.select(*keys))
+    ordinary = match_keys(df, listed, keys, "left_anti")
+    return Split(ordinary, match_keys(df, listed, keys, "left_semi"), rows)
+
+
+def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:
     """Tag rows with ``_slice``: contiguous in (keys, order), about half the limit each.
 
     ``order`` must be total within a group, otherwise equal rows stay together.
+    ``rows`` is the row count or an upper bound of it.
     """
-    parts = max(2, math.ceil(2 * df.count() / group_limit(df.sparkSession)))
+    parts = max(2, math.ceil(2 * rows / group_limit(df.sparkSession)))
     ranged = df.repartitionByRange(parts, *[F.col(k).asc() for k in keys], *order)
     return settle(ranged.withColumn(SLICE, F.spark_partition_id()))
 
@@ -73,9 +81,9 @@ def slice_offsets(sliced: DataFrame, keys: Sequence[str], weight: Column, name:
 
 
 def _numbered_slices(
-    hot: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str
+    split: Split, keys: Sequence[str], order: Sequence[Column], name: str, total: str
 ) -> DataFrame:
-    sliced = range_slices(hot, keys, order)
+    sliced = range_slices(split.hot, keys, order, split.hot_rows)
     offsets = slice_offsets(sliced, keys, F.lit(1), "_n")
     joined = match_keys(sliced, offsets, [*keys, SLICE], "inner")
     within = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
@@ -94,16 +102,16 @@ def number_rows(
     total: str = "group_rows",
 ) -> DataFrame:
     """Exact 1-based row number and group size, for groups of any size."""
-    ordinary, hot = split_hot(df, keys)
+    split = split_hot(df, keys)
     numbered = []
-    if ordinary is not None:
+    if split.ordinary is not None:
         group = Window.partitionBy(*keys)
         numbered.append(
-            ordinary.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("bigint"))
+            split.ordinary.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("bigint"))
             .withColumn(total, F.count(F.lit(1)).over(group))
         )
-    if hot is not None:
-        numbered.append(_numbered_slices(hot, keys, order, name, total))
+    if split.hot is not None:
+        numbered.append(_numbered_slices(split, keys, order, name, total))
     return _together(numbered)
 
 
@@ -120,11 +128,12 @@ def with_neighbours(
     Hot groups are numbered once, cut into blocks of equal length, and each
     block borrows the few rows it needs from its neighbours.
     """
-    ordinary, hot = split_hot(df, keys)
+    split = split_hot(df, keys)
     done = []
-    if ordinary is not None:
-        done.append(_shifted(ordinary, Window.partitionBy(*keys).orderBy(*order), column, steps, prefix))
-    if hot is not None:
+    if split.ordinary is not None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        done.append(_shifted(split.ordinary, whole, column, steps, prefix))
+    if split.hot is not None:
         reach = max(abs(s) for s in steps)
         block = max(group_limit(df.sparkSession), reach)
         place = F.col("_row") - 1
@@ -136,7 +145,7 @@ def with_neighbours(
             F.when(inside >= block - reach, home + 1),
         )
         lent = (
-            _numbered_slices(hot, keys, order, "_row", "_rows")
+            _numbered_slices(split, keys, order, "_row", "_rows")
             .withColumn("_home", home)
             .withColumn("_block", F.explode(F.array_compact(homes)))
         )

@@ -102,12 +102,16 @@ def daily_track(track: DataFrame, unwrap_first: bool = False) -> DataFrame:
 
 
 def daily_drift(dive_type: DataFrame, dive_stat: DataFrame) -> DataFrame:
-    """Mean drift rate per animal and day without outliers, and its five-row mean."""
+    """Mean drift rate per animal and day without outliers, and its five-row mean.
+
+    ``dive_stat`` has one row per animal and dive number.
+    """
     drift = dive_type.where(F.col("dive_type") == DRIFT_DIVE_TYPE).select("seal_id", "dive_number", "drift_rate")
-    timed = two_key_join(drift, dive_stat.select("seal_id", "dive_number", "jul_date"), ["seal_id", "dive_number"])
+    # One time per dive, so the filter and its moments can come before the join.
+    kept = within_sigma(drift, "drift_rate", 3.0)
+    timed = two_key_join(kept, dive_stat.select("seal_id", "dive_number", "jul_date"), ["seal_id", "dive_number"])
     dated = timed.withColumn("segment_date", serial_to_date(F.col("jul_date")))
-    kept = within_sigma(dated, "drift_rate", 3.0)
-    daily = daily_mean(kept, "seal_id", "segment_date", "drift_rate", "drift_rate")
+    daily = daily_mean(dated, "seal_id", "segment_date", "drift_rate", "drift_rate")
     return centred_row_mean(daily, "seal_id", "segment_date", "drift_rate", "five_day_drift")
 
 

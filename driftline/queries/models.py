@@ -118,7 +118,7 @@ def q_residuals(t):
 
 @query(
     "q_ols_states",
-    f"""WITH {FIXES}, d AS (SELECT kind, ln(value) AS y FROM fixes),
+    f"""WITH {FIXES}, d AS (SELECT kind, ln(value + 1) AS y FROM fixes),
 m AS (SELECT kind, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM d GROUP BY kind),
 p AS (SELECT sum(n * v) / (sum(n) - count(*)) AS s2 FROM m), base AS (SELECT n, m FROM m WHERE kind = 'click'),
 coefs AS (SELECT '(Intercept)' AS term, base.m AS b, sqrt(s2 / base.n) AS se FROM base, p
@@ -127,13 +127,13 @@ SELECT term, {sql_rnd('b')} AS estimate, {sql_rnd('se')} AS std_error, {sql_rnd(
   {sql_rnd('exp(b)')} AS response_scale FROM coefs""",
 )
 def q_ols_states(t):
-    rows = t.fixes().withColumn("log_value", F.ln("value"))
+    rows = t.fixes().withColumn("log_value", F.ln(F.col("value") + 1))
     coded, names = dummies(rows, "kind", levels(rows, "kind"))
     table = coef_table(t.spark, ols_fit(coded, "log_value", names), exp=True)
     return rounded(table, estimate=6, std_error=6, t_value=4, response_scale=6)
 
 
-BAND_FIT = f"d AS (SELECT ln(value) AS y, hours AS x FROM timed), line AS ({one_line('x', 'y', 'd')})"
+BAND_FIT = f"d AS (SELECT ln(value + 1) AS y, hours AS x FROM timed), line AS ({one_line('x', 'y', 'd')})"
 
 
 @query(
@@ -146,7 +146,7 @@ SELECT day, {sql_rnd('link')} AS link, {sql_rnd('se')} AS se, {sql_rnd('exp(link
   {sql_rnd('exp(link - se)')} AS lower, {sql_rnd('exp(link + se)')} AS upper FROM p""",
 )
 def q_predict_band(t):
-    rows = timed(t).withColumn("log_value", F.ln("value"))
+    rows = timed(t).withColumn("log_value", F.ln(F.col("value") + 1))
     fit = ols_fit(rows, "log_value", ["hours"])
     start = F.lit("2024-01-01").cast("date")
     grid = rows.select("day").distinct().withColumn("hours", (F.datediff("day", start) * 24).cast("double"))
@@ -368,26 +368,28 @@ def q_blup(t):
     return rounded(group_effects(reml(t)), effect=3)
 
 
+# Gamma models need a positive response; some event values are zero.
 @query(
     "q_gamma_by_state",
-    f"""WITH {FIXES}, m AS (SELECT kind, count(*) AS n, avg(value) AS m FROM fixes GROUP BY kind),
-phi AS (SELECT sum(((value - m) / m) * ((value - m) / m)) / (count(*) - 5) AS phi FROM fixes JOIN m USING (kind)),
+    f"""WITH {FIXES}, pos AS (SELECT kind, value + 1 AS y FROM fixes), m AS (SELECT kind, count(*) AS n, avg(y) AS m FROM pos GROUP BY kind),
+phi AS (SELECT sum(((y - m) / m) * ((y - m) / m)) / (count(*) - 5) AS phi FROM pos JOIN m USING (kind)),
 base AS (SELECT n, m FROM m WHERE kind = 'click'),
 coefs AS (SELECT '(Intercept)' AS term, ln(base.m) AS b, sqrt(phi / base.n) AS se FROM base, phi
   UNION ALL SELECT 'kind_' || kind, ln(m.m / base.m), sqrt(phi / m.n + phi / base.n) FROM m, base, phi WHERE kind <> 'click')
 SELECT term, {sql_rnd('b')} AS estimate, {sql_rnd('se')} AS std_error, {sql_rnd('b / se', 4)} AS t_value, {sql_rnd('exp(b)')} AS response_scale FROM coefs""",
 )
 def q_gamma_by_state(t):
-    rows = t.fixes()
+    rows = t.fixes().withColumn("strength", F.col("value") + 1)
     coded, names = dummies(rows, "kind", levels(rows, "kind"))
-    table = coef_table(t.spark, gamma_glm(coded, "value", names), exp=True)
+    table = coef_table(t.spark, gamma_glm(coded, "strength", names), exp=True)
     return rounded(table, estimate=6, std_error=6, t_value=4, response_scale=6)
 
 
 @query("q_gamma_glm")
 def q_gamma_glm(t):
-    fit = gamma_glm(timed(t), "value", ["hours", "lat"])
-    return rounded(coef_table(t.spark, fit, exp=True), estimate=6, std_error=6, t_value=4, response_scale=6)
+    rows = timed(t).withColumn("strength", F.col("value") + 1)
+    table = coef_table(t.spark, gamma_glm(rows, "strength", ["hours", "lat"]), exp=True)
+    return rounded(table, estimate=6, std_error=6, t_value=4, response_scale=6)
 
 
 T_ROUNDS = 60
@@ -442,8 +444,8 @@ WEIGHTS = f"""drawn AS (SELECT grp.*, rep, {_poisson_sql("(('0x' || substr(md5(a
 
 @query(
     "q_bootstrap_se",
-    f"""WITH {HOURS}, c AS (SELECT avg(hours) AS xm, avg(ln(value)) AS ym FROM timed),
-z AS (SELECT animal, hours - xm AS x, ln(value) - ym AS y FROM timed, c),
+    f"""WITH {HOURS}, c AS (SELECT avg(hours) AS xm, avg(ln(value + 1)) AS ym FROM timed),
+z AS (SELECT animal, hours - xm AS x, ln(value + 1) - ym AS y FROM timed, c),
 grp AS (SELECT animal, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy FROM z GROUP BY animal),
 {WEIGHTS},
 s AS (SELECT rep, sum(w * n) AS n, sum(w * sx) AS sx, sum(w * sy) AS sy, sum(w * xx) AS xx, sum(w * xy) AS xy FROM drawn GROUP BY rep),
@@ -452,7 +454,7 @@ g AS (SELECT DISTINCT day, ((day - date '2024-01-01') * 24)::double AS hours FRO
 SELECT day, {sql_rnd('stddev_samp(ym + b0 + b1 * (hours - xm))')} AS se FROM g, b, c GROUP BY day""",
 )
 def q_bootstrap_se(t):
-    rows = timed(t).withColumn("log_value", F.ln("value"))
+    rows = timed(t).withColumn("log_value", F.ln(F.col("value") + 1))
     fit = cluster_bootstrap(rows, "log_value", ["hours"], "animal", REPLICATES, SEED)
     start = F.lit("2024-01-01").cast("date")
     grid = rows.select("day").distinct().withColumn("hours", (F.datediff("day", start) * 24).cast("double"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftline.functions import bins, timeconv
+from driftline.functions.growth import safe_ln
 from driftline.functions.scalars import unwrap_longitude
 from driftline.operators.filters import (
     add_day_key,
@@ -166,11 +167,11 @@ def q_day_key(t):
 
 @query(
     "q_log_exp",
-    """SELECT event_id, round(ln(value) + 1e-9::double, 6) AS log_value, round(exp(ln(value)) + 1e-9::double, 6) AS back
-FROM events""",
+    f"""WITH d AS (SELECT event_id, CASE WHEN value > 0 THEN ln(value) END AS log_value FROM events)
+SELECT event_id, {sql_rnd('log_value')} AS log_value, {sql_rnd('exp(log_value)')} AS back FROM d""",
 )
 def q_log_exp(t):
-    log = F.ln("value")
+    log = safe_ln(F.col("value"))
     return t.events.select("event_id", rnd(log).alias("log_value"), rnd(F.exp(log)).alias("back"))
 
 
