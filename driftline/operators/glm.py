@@ -127,7 +127,8 @@ def robust_t_fit(
         gram = _weighted_sums(rows, z, weight)
         xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
         new = np.linalg.solve(xx, xy)
-        new_sigma2 = float((yy - xy @ new) / m.n)
+        # Dividing by the weight sum has the same fixed point and needs far fewer rounds.
+        new_sigma2 = float((yy - xy @ new) / gram[0, 0])
         moved = max(np.max(np.abs(new - beta)), abs(math.log(new_sigma2 / sigma2)))
         beta, sigma2, rounds = new, new_sigma2, rounds + 1
         converged = moved < tol

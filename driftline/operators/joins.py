@@ -152,12 +152,12 @@ def box_extract(
 ) -> DataFrame:
     """Mean, SD and median of the grid cells in a box around each point at its time.
 
-    Cells are bucketed at box width, and each distinct position visits only the
-    up to four buckets its box touches, so no nested-loop join is planned.
+    Cells are bucketed at half the box width, and each distinct position visits
+    only the few buckets its box touches, so no nested-loop join is planned.
     Repeated positions are looked up once.  ``wrap`` joins both sides of +-180.
     ``grid`` has one row per (product, time, lat, lon).
     """
-    width = 2 * half
+    width = half
     spots = points.select(time, lat, lon).distinct()
     copies = [F.col(lon)]
     if wrap:
@@ -177,32 +177,71 @@ def box_extract(
         )
 
     visits = seen.withColumn("_by", touched(lat)).withColumn("_bx", touched("_x"))
-    cells = grid.select(
-        F.col(time),
-        F.floor(F.col(lat) / width).cast("bigint").alias("_by"),
-        F.floor(F.col(lon) / width).cast("bigint").alias("_bx"),
-        F.col(product),
-        F.col(lat).alias("_clat"),
-        F.col(lon).alias("_clon"),
-        F.col(value).alias("_value"),
+    # Cells are unique by position, so the list of a bucket and the values of a
+    # box are bounded by the resolution of the grid.
+    cell = F.struct(F.col(lat).alias("y"), F.col(lon).alias("x"), F.col(value).cast("double").alias("v"))
+    cells = (
+        grid.where(F.col(value).isNotNull())
+        .groupBy(
+            time,
+            F.floor(F.col(lat) / width).cast("bigint").alias("_by"),
+            F.floor(F.col(lon) / width).cast("bigint").alias("_bx"),
+            product,
+        )
+        .agg(F.collect_list(cell).alias("_cells"))
     )
-    inside = F.col("_clat").between(F.col(lat) - half, F.col(lat) + half) & F.col("_clon").between(
-        F.col("_x") - half, F.col("_x") + half
+    bounded = visits.withColumns(
+        {
+            "_south": F.col(lat) - half,
+            "_north": F.col(lat) + half,
+            "_west": F.col("_x") - half,
+            "_east": F.col("_x") + half,
+        }
     )
-    summary = (
-        visits.join(cells, [time, "_by", "_bx"])
-        .where(inside)
+
+    def inside(c: Column) -> Column:
+        return (
+            (c["y"] >= F.col("_south"))
+            & (c["y"] <= F.col("_north"))
+            & (c["x"] >= F.col("_west"))
+            & (c["x"] <= F.col("_east"))
+        )
+
+    part = F.transform(F.filter("_cells", inside), lambda c: c["v"])
+    boxes = (
+        bounded.join(cells, [time, "_by", "_bx"])
+        .select(time, lat, lon, product, part.alias("_part"))
         .groupBy(time, lat, lon, product)
-        .agg(
-            F.avg("_value").alias("mean"),
-            F.stddev_samp("_value").alias("stdev"),
-            F.median("_value").alias("med"),
-            F.count("_value").alias("cells"),
+        .agg(F.sort_array(F.flatten(F.collect_list("_part"))).alias("_v"))
+    )
+    v, n = F.col("_v"), F.size("_v")
+    summary = (
+        boxes.where(n > 0)
+        .withColumn("mean", F.aggregate(v, F.lit(0.0), lambda total, x: total + x) / n)
+        .withColumn(
+            "_ss", F.aggregate(v, F.lit(0.0), lambda total, x: total + (x - F.col("mean")) * (x - F.col("mean")))
+        )
+        .select(
+            time,
+            lat,
+            lon,
+            product,
+            "mean",
+            F.when(n > 1, F.sqrt(F.col("_ss") / (n - 1))).alias("stdev"),
+            _sorted_median(v).alias("med"),
+            n.cast("bigint").alias("cells"),
         )
     )
     return points.select(point_id, time, lat, lon).join(summary, [time, lat, lon], "left")
 
 
+def _sorted_median(values: Column) -> Column:
+    n = F.size(values)
+    low = F.get(values, F.floor((n - 1) / 2).cast("int"))
+    high = F.get(values, F.floor(n / 2).cast("int"))
+    return low + (high - low) / 2
+
+
 def box_columns(extracted: DataFrame, point_id: str, products: Sequence[str], product: str = "product") -> DataFrame:
     """One row per point with ``<product>_mean``, ``_stdev`` and ``_med`` columns."""
     picks = [

@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from driftline.operators.skew import SLICE, match_keys, range_slices, slice_offsets, split_hot
 
+# Largest group whose values may sit in one task's memory.
+MAP_LIMIT = 20_000
+
 
 def group_quantiles(
     df: DataFrame,
@@ -20,18 +23,20 @@ def group_quantiles(
 ) -> DataFrame:
     """``wanted`` maps an output name to (column, probability); ``extra`` are plain aggregates.
 
-    ``percentile`` keeps a value map per group, so it serves groups within the
-    row limit.  Larger groups are ranked across range slices instead.
-    ``approximate`` trades exactness for one mergeable sketch per group.
+    ``percentile`` keeps a value map in memory, so it serves small groups only.
+    Groups up to the row limit are sorted by a window, which can spill, and
+    larger ones are ranked across range slices.  ``approximate`` trades exactness for one mergeable sketch per group.
     """
     if approximate:
         sketches = [F.percentile_approx(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
         return df.groupBy(*keys).agg(*extra, *sketches)
     split = split_hot(df, keys)
     result = None
-    if split.ordinary is not None:
+    if split.ordinary is not None and split.largest <= MAP_LIMIT:
         exact = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
         result = split.ordinary.groupBy(*keys).agg(*extra, *exact)
+    elif split.ordinary is not None:
+        result = _sorted_quantiles(split.ordinary, keys, wanted, extra)
     if split.hot is not None:
         ranked = _ranked_quantiles(split, keys, wanted)
         if extra:
@@ -40,6 +45,37 @@ def group_quantiles(
     return result
 
 
+def _sorted_quantiles(df, keys, wanted, extra):
+    """One shuffle on the keys, one sort per column; the final aggregate stays in place."""
+    ranked = df
+    for column in sorted({c for c, _ in wanted.values()}):
+        group = Window.partitionBy(*keys)
+        ranked = ranked.withColumn(
+            f"_rank_{column}", F.row_number().over(group.orderBy(F.col(column).asc_nulls_last())) - 1
+        ).withColumn(f"_last_{column}", F.count(column).over(group) - 1)
+
+    def at(column: str, rank: Column) -> Column:
+        return F.max(F.when(F.col(f"_rank_{column}") == rank, F.col(column)))
+
+    ends = []
+    for name, (column, p) in wanted.items():
+        place = F.col(f"_last_{column}") * F.lit(float(p))
+        ends += [
+            F.max(place).alias(f"_place_{name}"),
+            at(column, F.floor(place)).alias(f"_low_{name}"),
+            at(column, F.ceil(place)).alias(f"_high_{name}"),
+        ]
+    found = ranked.groupBy(*keys).agg(*extra, *ends)
+    blends = [_blend(F.col(f"_low_{n}"), F.col(f"_high_{n}"), F.col(f"_place_{n}")).alias(n) for n in wanted]
+    kept = [c for c in found.columns if not c.startswith(("_place_", "_low_", "_high_"))]
+    return found.select(*kept, *blends)
+
+
+def _blend(low: Column, high: Column, place: Column) -> Column:
+    share = place - F.floor(place)
+    return F.when(share == 0, low).otherwise((1 - share) * low + share * high)
+
+
 def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
         return match_keys(left, right, keys, "left")
@@ -91,9 +127,7 @@ def _ranked_column(split, keys, column, probabilities):
     ends = placed.groupBy(*keys, F.col("_ask.q").alias("_q"), "_place", "_lo", "_hi").agg(
         value_at("_lo").alias("_low"), value_at("_hi").alias("_high")
     )
-    blended = F.when(F.col("_lo") == F.col("_hi"), F.col("_low")).otherwise(
-        (F.col("_hi") - F.col("_place")) * F.col("_low") + (F.col("_place") - F.col("_lo")) * F.col("_high")
-    )
+    blended = _blend(F.col("_low"), F.col("_high"), F.col("_place"))
     return ends.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_q") == n, blended)).alias(n) for n in probabilities]
     )

@@ -32,10 +32,15 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 
 @dataclass(frozen=True)
 class Split:
-    """Rows of groups within the limit, rows of larger groups, and how many the latter are."""
+    """Rows of groups within the limit and rows of larger groups.
+
+    ``largest`` is the row count of the largest ordinary group, ``hot_rows`` the
+    number of rows in ``hot``.
+    """
 
     ordinary: DataFrame | None
     hot: DataFrame | None
+    largest: int = 0
     hot_rows: int = 0
 
 
@@ -44,14 +49,17 @@ def split_hot(df: DataFrame, keys: Sequence[str]) -> Split:
     limit = group_limit(df.sparkSession)
     if not keys:
         rows = df.count()
-        return Split(df, None) if rows <= limit else Split(None, df, rows)
-    sizes = df.groupBy(*keys).count().where(F.col("count") > limit)
-    groups, rows = sizes.agg(F.count(F.lit(1)), F.sum("count")).first()
+        return Split(df, None, rows) if rows <= limit else Split(None, df, 0, rows)
+    sizes = df.groupBy(*keys).count()
+    big = F.col("count") > limit
+    largest, groups, rows = sizes.agg(
+        F.max(F.when(~big, F.col("count"))), F.count_if(big), F.sum(F.when(big, F.col("count")))
+    ).first()
     if not groups:
-        return Split(df, None)
-    listed = broadcast_if_small(sizes.select(*keys))
+        return Split(df, None, largest or 0)
+    listed = broadcast_if_small(sizes.where(big).select(*keys))
     ordinary = match_keys(df, listed, keys, "left_anti")
-    return Split(ordinary, match_keys(df, listed, keys, "left_semi"), rows)
+    return Split(ordinary, match_keys(df, listed, keys, "left_semi"), largest or 0, rows)
 
 
 def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:

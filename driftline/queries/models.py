@@ -45,7 +45,7 @@ def one_line(x: str, y: str, source: str, weight: str = "1") -> str:
     """Weighted straight line: CTE body with n, means, slope, intercept, sxx, rss."""
     return f"""SELECT *, slope_sxy / sxx AS slope, ym - slope_sxy / sxx * xm AS intercept,
   syy - slope_sxy * slope_sxy / sxx AS rss FROM (
-    SELECT count(*) AS n, any_value(xm) AS xm, any_value(ym) AS ym, sum({weight} * ({x} - xm) * ({x} - xm)) AS sxx,
+    SELECT count(*) AS n, sum({weight}) AS wn, any_value(xm) AS xm, any_value(ym) AS ym, sum({weight} * ({x} - xm) * ({x} - xm)) AS sxx,
       sum({weight} * ({x} - xm) * ({y} - ym)) AS slope_sxy, sum({weight} * ({y} - ym) * ({y} - ym)) AS syy
     FROM {source}, (SELECT sum({weight} * {x}) / sum({weight}) AS xm, sum({weight} * {y}) / sum({weight}) AS ym FROM {source}))"""
 
@@ -407,7 +407,7 @@ def _t_sql() -> str:
         weighted = f"(SELECT x, y, 5.0::double / (4.0::double + (y - a - b * x) * (y - a - b * x) / s2) AS w FROM d, r{i - 1})"
         parts.append(f"w{i} AS MATERIALIZED {weighted}")
         parts.append(
-            f"r{i} AS MATERIALIZED (SELECT intercept AS a, slope AS b, rss / n AS s2 FROM (" + one_line("x", "y", f"w{i}", "w") + "))"
+            f"r{i} AS MATERIALIZED (SELECT intercept AS a, slope AS b, rss / wn AS s2 FROM (" + one_line("x", "y", f"w{i}", "w") + "))"
         )
     return ", ".join(parts)
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.joins import two_key_join
+from driftline.operators.skew import split_hot
 from driftline.sources.delimited import NULL_TEXT
 
 ROWS_PER_FILE = 5_000_000
@@ -23,14 +25,20 @@ def export_by_key(
 ) -> None:
     """One folder of CSV files per animal.
 
-    Rebalancing gathers an animal's rows into few files and lets adaptive
-    execution split an animal with many rows over several tasks.  The id stays
+    An animal's rows meet in one task, except that animals beyond the row limit
+    of the session are spread over all tasks by input partition.  The id stays
     inside the files, so its text is read back unchanged.
     """
-    picked = df.select(*columns) if columns else df
+    picked = (df.select(*columns) if columns else df).withColumn("animal", F.col(key))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = split_hot(picked, ["animal"])
+    gathered = []
+    if split.ordinary is not None:
+        gathered.append(split.ordinary.repartition(tasks, "animal"))
+    if split.hot is not None:
+        gathered.append(split.hot.repartition(tasks, F.col("animal"), F.spark_partition_id()))
     (
-        picked.withColumn("animal", F.col(key))
-        .hint("rebalance", "animal")
+        reduce(DataFrame.unionByName, gathered)
         .write.mode(mode)
         .partitionBy("animal")
         .option("header", True)
