@@ -62,7 +62,7 @@ def nearest_in_time(
     """
     fix = F.struct(F.col(fix_time).alias("t"), F.col(fix_order).alias("o"), *payload)
     # One fix per animal and time: the lowest in file order.
-    firsts = fixes.groupBy(key, F.col(fix_time).alias("_t")).agg(
+    firsts = fixes.where(F.col(fix_time).isNotNull()).groupBy(key, F.col(fix_time).alias("_t")).agg(
         F.min_by(fix, F.col(fix_order)).alias("_fix")
     )
     no_sample = F.lit(None).cast(samples.schema[sample_id].dataType)
@@ -89,7 +89,8 @@ def nearest_in_time(
     gap_after = F.col("_next.t") - F.col("_t")
     take_prev = F.col("_next").isNull() | (gap_before <= gap_after)
     chosen = F.when(take_prev, F.col("_prev")).otherwise(F.col("_next"))
-    picked = found.where(F.col("_kind") == 1).withColumn("_near", chosen)
+    timed = F.when(F.col("_t").isNotNull(), chosen)
+    picked = found.where(F.col("_kind") == 1).withColumn("_near", timed)
     return picked.select(
         key,
         F.col("_sample").alias(sample_id),
@@ -117,16 +118,13 @@ def _lend_fixes(sliced: DataFrame, key: str) -> DataFrame:
         F.min_by("_fix", F.when(F.col("_kind") == 0, F.col("_t"))).alias("_first"),
     )
     ordered = Window.partitionBy(key).orderBy(SLICE)
-    lent = ends.select(
-        key,
-        SLICE,
-        F.explode(
-            F.array(
-                F.last("_last", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
-                F.first("_first", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)),
-            )
-        ).alias("_fix"),
-    ).where(F.col("_fix").isNotNull())
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    after = ordered.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).withColumn(
+        "_after", F.first("_first", ignorenulls=True).over(after)
+    )
+    lent = carried.select(key, SLICE, F.explode(F.array("_before", "_after")).alias("_fix"))
+    lent = lent.where(F.col("_fix").isNotNull())
     rows = lent.select(
         key,
         F.col("_fix.t").alias("_t"),

@@ -419,7 +419,7 @@ SELECT '(Intercept)' AS term, {sql_rnd('a', 5)} AS estimate FROM r{T_ROUNDS}
 UNION ALL SELECT 'hours', {sql_rnd('b', 5)} FROM r{T_ROUNDS} UNION ALL SELECT 'sigma', {sql_rnd('sqrt(s2)', 5)} FROM r{T_ROUNDS}""",
 )
 def q_t_fit(t):
-    fit = robust_t_fit(timed(t), "value", ["hours"], nu=T_NU, tol=1e-9)
+    fit = robust_t_fit(timed(t), "value", ["hours"], nu=T_NU, tol=1e-12)
     rows = [*zip(fit.terms, map(float, fit.coef)), ("sigma", fit.sigma)]
     return rounded(t.spark.createDataFrame(rows, "term string, estimate double"), estimate=5)
 
