@@ -29,6 +29,7 @@ from driftline.operators.mixed import (
     group_effects,
     random_intercept_fit,
 )
+from driftline.operators.slopes import random_slopes_fit
 from driftline.queries.registry import FIXES, query, rnd, rounded, sql_rnd
 
 # Hours since the first day: the time predictor of the event models.
@@ -368,6 +369,14 @@ def q_blup(t):
     return rounded(group_effects(reml(t)), effect=3)
 
 
+@query("q_random_slopes")
+def q_random_slopes(t):
+    fit = random_slopes_fit(timed(t), "value", ["hours", "lat"], ["lat"], "animal")
+    rows = [(n, float(b), float(s)) for n, b, s in zip(fit.terms, fit.coef, fit.std_error)]
+    rows += [("sigma", fit.sigma2**0.5, None)]
+    return rounded(t.spark.createDataFrame(rows, "term string, estimate double, std_error double"), estimate=4, std_error=4)
+
+
 # Gamma models need a positive response; some event values are zero.
 @query(
     "q_gamma_by_state",

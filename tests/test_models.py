@@ -24,6 +24,7 @@ from driftline.operators.mixed import (
     group_effects,
     random_intercept_fit,
 )
+from driftline.operators.slopes import random_slopes_fit
 
 RNG = np.random.default_rng(17)
 N, GROUPS = 240, 12
@@ -218,3 +219,39 @@ def test_density(spark, rows):
     direct = np.exp(-(((x[:, None] - Y[None, :]) / width) ** 2) / 2).mean(axis=1) / (width * math.sqrt(2 * math.pi))
     assert np.array([r.density for r in curve]) == pytest.approx(direct, abs=2e-4)
     assert np.trapezoid([r.density for r in curve], x) == pytest.approx(1, abs=2e-3)
+
+
+def test_random_slopes_match_dense_criterion(spark):
+    rng = np.random.default_rng(5)
+    key = rng.integers(0, 15, 300)
+    x = rng.normal(50, 4, 300)
+    w = rng.normal(0, 1, 300)
+    effect = rng.multivariate_normal([0, 0], [[4.0, 0.3], [0.3, 0.2]], 15)
+    y = 1 + 0.5 * x + 0.2 * w + effect[key, 0] + effect[key, 1] * (x - 50) + rng.normal(0, 1.0, 300)
+    df = spark.createDataFrame(
+        [(f"g{k}", *map(float, r)) for k, *r in zip(key, x, w, y)], "k string, x double, w double, y double"
+    )
+    fit = random_slopes_fit(df, "y", ["x", "w"], ["x"], "k")
+    assert fit.converged
+    design, z = np.column_stack([np.ones(300), x, w]), np.column_stack([np.ones(300), x])
+    same = key[:, None] == key[None, :]
+
+    def dense(group_cov, sigma2):
+        v = sigma2 * np.eye(300) + same * (z @ group_cov @ z.T)
+        vi = np.linalg.inv(v)
+        xx = design.T @ vi @ design
+        beta = np.linalg.solve(xx, design.T @ vi @ y)
+        r = y - design @ beta
+        value = np.linalg.slogdet(v)[1] + np.linalg.slogdet(xx)[1] + r @ vi @ r
+        return value, beta, np.linalg.inv(xx)
+
+    best, beta, cov = dense(fit.group_cov, fit.sigma2)
+    assert fit.coef == pytest.approx(beta, rel=1e-5)
+    assert fit.std_error == pytest.approx(np.sqrt(np.diag(cov)), rel=1e-5)
+    root = np.linalg.cholesky(fit.group_cov)
+    for i, j in ((0, 0), (1, 0), (1, 1)):
+        for step in (-0.02, 0.02):
+            moved = root.copy()
+            moved[i, j] *= 1 + step
+            assert dense(moved @ moved.T, fit.sigma2)[0] > best - 1e-6
+    assert dense(fit.group_cov, fit.sigma2 * 1.01)[0] > best and dense(fit.group_cov, fit.sigma2 * 0.99)[0] > best
