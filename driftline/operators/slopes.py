@@ -153,7 +153,7 @@ def random_slopes_fit(
     back[1:, 1:] = np.diag(1 / scale[:-1])
     coef = scale[-1] * (back @ current.beta)
     coef[0] += m.mean[-1]
-    sigma2 = current.sigma2 * scale[-1] ** 2
+    sigma2 = float(current.sigma2 * scale[-1] ** 2)
     group_back = back[np.ix_(where, where)]
     return SlopesFit(
         response,
