@@ -12,7 +12,7 @@ from driftline.functions.scalars import unwrap_longitude
 from driftline.functions.timeconv import day_to_date, date_to_days, parse_us_date, serial_to_date
 from driftline.operators.aggregates import daily_mean, daily_position
 from driftline.operators.filters import exclude_ids, require, within_sigma
-from driftline.operators.joins import day_join, natural_join, two_key_join
+from driftline.operators.joins import day_join, lookup, natural_join, two_key_join
 from driftline.operators.windows import centred_row_mean, trailing_day_mean
 from driftline.plans.study import DRIFT_DIVE_TYPE, EXCLUDED_IDS, KNOWN_START_IDS
 
@@ -72,10 +72,10 @@ def _finish_dates(df: DataFrame) -> DataFrame:
 def apply_overrides(dated: DataFrame, overrides: DataFrame) -> DataFrame:
     """Redate animals with one measured length at a known day.
 
-    ``overrides`` (seal_id, known_day, known_length) is a short hand-made table.
+    ``overrides`` (seal_id, known_day, known_length) has one row per animal.
     The segment date, and so every later join key, follows the new dates.
     """
-    joined = dated.join(F.broadcast(overrides), "seal_id", "left")
+    joined = lookup(dated, overrides, "seal_id")
     changed = F.col("known_day").isNotNull()
     length = F.col("length_recovery")
     start = g.start_from_known_length(length, F.col("known_length"), F.col("known_day"))
