@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from driftline.queries import ORACLE as SQL
+from driftline.queries import QUERIES
 from driftline.session import BROADCAST_LIMIT_KEY, GROUP_LIMIT_KEY
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
