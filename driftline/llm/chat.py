@@ -45,15 +45,19 @@ def unescaped_role(role: Column) -> Column:
 
 
 def _blocks(turns: Column) -> Column:
-    """Maximal runs of one role: structs of role and texts, cut out of the sorted turns."""
+    """Maximal runs of one role: structs of role and texts, cut out of the sorted turns.
+
+    Inside the functions only single elements of ``turns`` are touched; taking
+    a field or a slice of the whole array there would cost its length each time.
+    """
     place = F.sequence(F.lit(0), F.size(turns) - 1)
-    begins = F.filter(place, lambda i: (i == 0) | (turns[i]["role"] != F.get(turns["role"], i - 1)))
+    begins = F.filter(place, lambda i: (i == 0) | (turns[i]["role"] != F.get(turns, i - 1)["role"]))
     ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(turns)))
     return F.transform(
         F.arrays_zip(begins.alias("begin"), ends.alias("end")),
         lambda run: F.struct(
             turns[run["begin"]]["role"].alias("role"),
-            F.slice(turns["text"], run["begin"] + 1, run["end"] - run["begin"]).alias("texts"),
+            F.transform(F.sequence(run["begin"], run["end"] - 1), lambda i: turns[i]["text"]).alias("texts"),
         ),
     )
 

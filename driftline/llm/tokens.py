@@ -173,7 +173,10 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text") -> dict
                 if not NOT_PLAIN.search(text):
                     counts.update(PIECE.findall(text))
             top = counts.most_common(TABLE_ENTRIES)
-            yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+            yield pd.DataFrame({
+                "piece": pd.Series([p for p, _ in top], dtype=object),
+                "n": pd.Series([n for _, n in top], dtype="int64"),
+            })
 
     top = (
         sample.mapInPandas(pieces, "piece string, n long")
