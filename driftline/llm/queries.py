@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import chat, tokens
+from driftline.llm import (
+    balancing,
+    bitplanes,
+    chat,
+    licenses,
+    parsing,
+    ranges,
+    simhash,
+    suffixes,
+    tokens,
+    toxicity,
+)
 from driftline.llm.common import ready
+from driftline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +96,98 @@ def op5(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"),
         "n_blocks",
     )
+
+
+@corpus_query("op4_simhash_components")
+def op4(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@corpus_query("op6_bit_planes")
+def op6(spark, sf_dir):
+    path = scratch_path(spark, "ids")
+    bitplanes.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return bitplanes.document_digests(spark, path).withColumnRenamed("doc_key", "doc_id")
+
+
+SHARDS = 8
+
+
+@corpus_query("op7_sampled_splitters")
+def op7(spark, sf_dir):
+    sharded = ranges.shard_keys(table(spark, sf_dir, "documents"), SHARDS)
+    return sharded.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@corpus_query("op1_toxic_segments")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "toxicity.score", "toxicity.predicted", F.size("toxicity.passages").alias("n_passages"))
+
+
+DECONTAMINATION_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+item_split AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size,
+         array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
+  FROM item_split, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS gram
+  FROM split, sizes, unnest(range(1, len(w) - size + 2)) AS t(i)),
+met AS (SELECT doc_id, i, g.size, item_id FROM grams g JOIN windows v ON v.size = g.size AND v.gram = g.gram),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM met) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM met) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""".replace(' COLLATE "C"', "")
+
+
+@corpus_query("op3_suffix_decontamination", DECONTAMINATION_SQL)
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixes.with_matches(docs, table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("found.items", lambda i: i.cast("string")))
+    hit = suffixes.hit_words(F.col("found"))
+    return found.select(
+        "doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+@corpus_query("op8_diagonal_voting")
+def op8(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@corpus_query("op9_consistent_parsing")
+def op9(spark, sf_dir):
+    compared = parsing.compare_with_next(table(spark, sf_dir, "documents"))
+    return compared.withColumnRenamed("key", "doc_id")
+
+
+@corpus_query("op10_entropy_balancing")
+def op10(spark, sf_dir):
+    taken = balancing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return taken.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+@corpus_query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
