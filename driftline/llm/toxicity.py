@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training counts words, and the first letters of words, in labelled texts.  Their
-log-odds between the classes are smoothed by a Dirichlet prior whose shape is the
-feature's share in *all* documents; features of significant log-odds score, every
-other word costs ``DRIFT``.  A linear scan then finds all maximal segments of a
+Training counts the labelled texts that hold a word, or a word with the same first
+letters.  The log-odds between the classes are smoothed by a Dirichlet prior whose
+shape is the feature's share of *all* documents; features of significant and clear
+log-odds score, every other word costs ``DRIFT``.  A linear scan then finds all maximal segments of a
 text, and Karlin-Altschul statistics turn a segment's score into the number of
 such segments to expect in a clean text of that length: the decay comes from the
 score distribution, the constant from the best segments of clean labelled texts
@@ -35,9 +35,10 @@ MAX_LABELS = 200_000
 MAX_FEATURES = 50_000
 MIN_DOCS = 3
 PREFIXES = (4, 5, 6)
-PRIOR = 1_000.0  # words the corpus-shaped part of the prior counts for
+PRIOR = 10.0  # documents the corpus-shaped part of the prior counts for
 FLOOR = 0.5  # and what every feature gets besides
-SIGNIFICANT = 3.0  # standard errors
+SIGNIFICANT = 4.0  # signed root of the deviance from equal shares in both classes
+CLEAR = 1.0  # log-odds, less two standard errors
 DRIFT = 0.1
 EXPECT = 0.01
 KNOWN_WORDS = 300_000
@@ -94,7 +95,10 @@ class Model:
         """Segments as (start, words, expected number in a clean text), best score, words."""
         words = alnum_words(text)
         values = list(map(scores.__getitem__, words))
-        hits = [(i, v) for i, v in enumerate(values) if v]
+        # A word that only repeats the last one that scored adds nothing.
+        places = [i for i, v in enumerate(values) if v]
+        hits = [(i, values[i]) for i, before in zip(places, [-1, *places], strict=False)
+                if before < 0 or words[i] != words[before]]
         made = segments(hits, DRIFT)
         n = max(len(words), 1)
         expected = [(a, b - a, self.constant * n * math.exp(-self.decay * s)) for a, b, s in made]
@@ -150,44 +154,52 @@ def _candidates(rows: DataFrame) -> list[bytes]:
     return [bytes(r.feature) for r in kept.collect()]
 
 
-def _counted(rows: DataFrame, wanted: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For toxic, clean and all texts: the words in them, and how often each wanted feature."""
+def _counted(rows: DataFrame, wanted: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:
+    """For toxic, clean and all texts: their number, how many hold each wanted feature, and
+    the number of words in clean ones."""
     places = rows.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(wanted)})
     size = len(wanted)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = places.value
-        sums, of_word = np.zeros((3, size + 1), dtype=np.int64), Kept(
-            lambda w: [place[f] for f in features(w) if f in place], KNOWN_WORDS)
+        sums, clean_words = np.zeros((3, size + 2), dtype=np.int64), 0
+        of_word = Kept(lambda w: [place[f] for f in features(w) if f in place], KNOWN_WORDS)
         for batch in batches:
             label = batch["_label"].to_numpy(dtype=float, na_value=np.nan)
-            for kind, chosen in enumerate((label == 1, label == 0, np.isnan(label))):
-                words = Counter()
-                for text in batch["_text"][chosen]:
-                    words.update(alnum_words(text))
-                sums[kind, size] += words.total()
-                for word, n in words.items():
-                    for f in of_word[word]:
-                        sums[kind, f] += n
+            for kind, text in zip(np.where(np.isnan(label), 2, 1 - label).astype(int), batch["_text"], strict=True):
+                words = alnum_words(text)
+                held = {f for own in map(of_word.__getitem__, set(words)) for f in own}
+                sums[kind, list(held)] += 1
+                sums[kind, size] += 1
+                clean_words += len(words) if kind == 1 else 0
         sums[2] += sums[0] + sums[1]
+        sums[2, size + 1] = clean_words
         some = np.flatnonzero(sums[2])
         yield pd.DataFrame({"at": some, "toxic": sums[0, some], "clean": sums[1, some], "every": sums[2, some]})
 
     summed = rows.select("_text", "_label").mapInPandas(count, "at long, toxic long, clean long, every long").groupBy(
         "at").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "every")])
-    counts = np.zeros((3, size + 1), dtype=np.float64)
+    counts = np.zeros((3, size + 2), dtype=np.float64)
     for r in summed.collect():  # one row a feature
         counts[:, r["at"]] = r["toxic"], r["clean"], r["every"]
-    return counts[:, size], counts[:, :size]
+    return counts[:, size], counts[:, :size], counts[2, size + 1]
 
 
-def _log_odds(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-odds of toxic against clean, their standard errors, and clean shares."""
-    prior = PRIOR * counts[2] / max(words[2], 1) + FLOOR
+def _log_odds(docs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of toxic against clean texts to hold a feature, and their standard errors."""
+    prior = PRIOR * counts[2] / max(docs[2], 1) + FLOOR
     toxic, clean = counts[0] + prior, counts[1] + prior
-    all_toxic, all_clean = words[0] + PRIOR, words[1] + PRIOR
-    odds = np.log(toxic / np.maximum(all_toxic - toxic, 1)) - np.log(clean / np.maximum(all_clean - clean, 1))
-    return odds, np.sqrt(1 / toxic + 1 / clean), clean / all_clean
+    rest_toxic, rest_clean = (docs[i] + PRIOR + 2 * FLOOR - x for i, x in enumerate((toxic, clean)))
+    odds = np.log(toxic / np.maximum(rest_toxic, FLOOR)) - np.log(clean / np.maximum(rest_clean, FLOOR))
+    return odds, np.sqrt(1 / toxic + 1 / clean)
+
+
+def _deviance(docs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Signed root of the deviance of a feature's texts from the classes' own shares."""
+    both, share = counts[0] + counts[1], docs[0] / max(docs[0] + docs[1], 1)
+    part = lambda seen, wanted: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(wanted, 1e-9)), 0)
+    size = 2 * (part(counts[0], both * share) + part(counts[1], both * (1 - share)))
+    return np.sign(counts[0] - both * share) * np.sqrt(np.maximum(size, 0))
 
 
 def _decay(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -225,9 +237,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str
     model = Model()
     if not wanted:
         return model
-    words, counts = _counted(rows, wanted)
-    odds, error, shares = _log_odds(words, counts)
-    kept = np.flatnonzero(odds > SIGNIFICANT * error)
+    numbers, counts, clean_words = _counted(rows, wanted)
+    odds, error = _log_odds(numbers, counts)
+    shares = (counts[1] + FLOOR) / (clean_words + 1)
+    kept = np.flatnonzero((_deviance(numbers, counts) > SIGNIFICANT) & (odds - 2 * error > CLEAR))
     model.weights = {wanted[i]: float(odds[i] - error[i]) for i in kept}
     whole = [i for i in kept if not wanted[i].startswith(b"^")]
     model.decay = _decay(odds[whole] - error[whole], shares[whole]) if whole else 1.0
