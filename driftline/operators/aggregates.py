@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.filters import with_moments
 from driftline.operators.quantiles import group_quantiles
-from driftline.session import broadcast_if_small
 
 # Interval of a prediction summary.
 LOWER_P = 0.025
@@ -19,8 +18,11 @@ WHISKER_IQR = 1.5
 
 
 def daily_position(df: DataFrame, key: str, day: str, columns: dict[str, str]) -> DataFrame:
-    """Exact median of each axis per animal and day; ``columns`` maps source to output."""
-    return group_quantiles(df, [key, day], {name: (c, 0.5) for c, name in columns.items()})
+    """Exact median of each axis per animal and day; ``columns`` maps source to output.
+
+    A day holds a bounded number of fixes, so the values of a group fit in memory.
+    """
+    return df.groupBy(key, day).agg(*[F.percentile(c, F.lit(0.5)).alias(name) for c, name in columns.items()])
 
 
 def daily_mean(df: DataFrame, key: str, day: str, column: str, name: str) -> DataFrame:
@@ -36,7 +38,7 @@ def draw_summary(
         draws,
         keys,
         {f"{name}_lwr": (value, LOWER_P), f"{name}_upr": (value, UPPER_P)},
-        [F.avg(value).alias(name)],
+        {name: (value, "mean")},
         approximate,
     )
 
@@ -70,8 +72,15 @@ def mass_change(df: DataFrame, before: str, after: str, name: str = "mass_change
     return df.withColumn(name, F.col(after) - F.col(before))
 
 
-def pretty_breaks(low: float, high: float, classes: int) -> tuple[float, float, int]:
-    """Round class width and start that cover [low, high] in about ``classes`` steps."""
+# Fixed value: a value this part of a class width beyond a break counts as on it.
+BREAK_SLACK = 1e-7
+
+
+def pretty_breaks(low: float, high: float, classes: int) -> tuple[int, float, int]:
+    """First break as a multiple of the class width, the width, and the number of classes.
+
+    The breaks are round numbers that cover [low, high] in about ``classes`` steps.
+    """
     spread = high - low
     cell = spread / classes if spread > 0 else max(abs(low), 1.0) / classes
     base = 10.0 ** math.floor(math.log10(cell))
@@ -82,13 +91,19 @@ def pretty_breaks(low: float, high: float, classes: int) -> tuple[float, float,
             unit = factor * base
         else:
             break
-    first = math.floor(low / unit + 1e-7)
-    last = math.ceil(high / unit - 1e-7)
-    return first * unit, unit, max(last - first, 1)
+    first = math.floor(low / unit + BREAK_SLACK)
+    last = math.ceil(high / unit - BREAK_SLACK)
+    return first, unit, max(last - first, 1)
+
+
+def _counted_classes(df: DataFrame, class_no: Column, numbers: range) -> DataFrame:
+    counted = df.groupBy(class_no.cast("bigint").alias("class_no")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(numbers.start, numbers.stop).select(F.col("id").alias("class_no"))
+    return every.join(counted, "class_no", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
 
 
 def histogram(df: DataFrame, column: str, classes: int | None = None) -> DataFrame:
-    """Counts per right-closed class, the lowest limit included.
+    """Counts per right-closed class, the lowest limit included; they add up to the non-NULL rows.
 
     By default the number of classes follows from the row count and the limits
     are rounded; empty classes are listed with a zero count.
@@ -96,26 +111,29 @@ def histogram(df: DataFrame, column: str, classes: int | None = None) -> DataFra
     n, low, high = df.agg(F.count(column), F.min(column), F.max(column)).first()
     if not n:
         return df.sparkSession.createDataFrame([], "class_no bigint, class_low double, class_high double, n bigint")
-    start, width, count = pretty_breaks(low, high, classes or math.ceil(math.log2(n) + 1))
-    return fixed_histogram(df, column, start, width, count)
+    first, unit, count = pretty_breaks(low, high, classes or math.ceil(math.log2(n) + 1))
+    place = F.ceil(F.col(column) / F.lit(unit) - BREAK_SLACK) - first
+    class_no = F.greatest(F.lit(1), F.least(F.lit(count), place))
+    found = _counted_classes(df.where(F.col(column).isNotNull()), class_no, range(1, count + 1))
+    edge = lambda k: (F.col("class_no") + (first + k)) * F.lit(unit)
+    return found.select("class_no", edge(-1).alias("class_low"), edge(0).alias("class_high"), "n")
 
 
 def fixed_histogram(df: DataFrame, column: str, start: float, width: float, classes: int) -> DataFrame:
-    place = F.ceil((F.col(column) - F.lit(start)) / F.lit(width))
-    class_no = F.when(F.col(column) == start, 1).otherwise(place).cast("bigint")
-    counted = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(class_no.alias("class_no"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("class_no").between(1, classes))
+    """Counts per class of given limits; class 0 holds values below them, ``classes`` + 1 those above."""
+    place = (F.col(column) - F.lit(start)) / F.lit(width)
+    class_no = (
+        F.when(F.abs(place) <= BREAK_SLACK, 1)
+        .when(place < 0, 0)
+        .otherwise(F.least(F.lit(classes + 1), F.ceil(place - BREAK_SLACK)))
     )
-    every = df.sparkSession.range(1, classes + 1).select(F.col("id").alias("class_no"))
-    low = F.lit(start) + (F.col("class_no") - 1) * F.lit(width)
-    return every.join(counted, "class_no", "left").select(
+    found = _counted_classes(df.where(F.col(column).isNotNull()), class_no, range(classes + 2))
+    edge = lambda k: F.lit(start) + (F.col("class_no") + k) * F.lit(width)
+    return found.select(
         "class_no",
-        low.alias("class_low"),
-        (low + F.lit(width)).alias("class_high"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        F.when(F.col("class_no") > 0, edge(-1)).alias("class_low"),
+        F.when(F.col("class_no") <= classes, edge(0)).alias("class_high"),
+        "n",
     )
 
 
@@ -124,12 +142,10 @@ def _box_limits(df: DataFrame, key: str, column: str) -> DataFrame:
         df,
         [key],
         {"q1": (column, 0.25), "median": (column, 0.5), "q3": (column, 0.75)},
-        [F.count(column).alias("n")],
+        {"n": (column, "count")},
     )
     reach = WHISKER_IQR * (F.col("q3") - F.col("q1"))
-    return broadcast_if_small(
-        quartiles.withColumn("_low", F.col("q1") - reach).withColumn("_high", F.col("q3") + reach)
-    )
+    return quartiles.withColumn("_low", F.col("q1") - reach).withColumn("_high", F.col("q3") + reach)
 
 
 def box_stats(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -125,12 +125,13 @@ def kde(df: DataFrame, column: str, points: int = 512) -> DataFrame:
     does not depend on the number of rows.
     """
     facts = group_quantiles(
-        df.where(F.col(column).isNotNull()),
+        df,
         [],
         {"q1": (column, 0.25), "q3": (column, 0.75)},
-        [F.count(column).alias("n"), F.stddev_samp(column).alias("sd"), F.min(column).alias("lo"), F.max(column).alias("hi")],
+        {"n": (column, "count"), "lo": (column, "min"), "hi": (column, "max")},
     ).first()
-    n, sd, iqr = facts["n"], facts["sd"], facts["q3"] - facts["q1"]
+    sd = df.agg(F.stddev_samp(column)).first()[0]
+    n, iqr = facts["n"], facts["q3"] - facts["q1"]
     spread = min(sd, iqr / IQR_TO_SD) or sd or abs(facts["lo"]) or 1.0
     width = BANDWIDTH_FACTOR * spread * n**-0.2
     bins = 2 * points

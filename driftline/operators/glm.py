@@ -26,6 +26,8 @@ class GammaFit:
     dispersion: float
     deviance: float
     n: int
+    rounds: int
+    converged: bool
 
     @property
     def terms(self) -> list[str]:
@@ -56,6 +58,8 @@ def gamma_glm(df: DataFrame, response: str, predictors: Sequence[str], max_round
         float(summary.dispersion),
         float(summary.deviance),
         int(summary.numInstances),
+        int(summary.numIterations),
+        int(summary.numIterations) < max_rounds,
     )
 
 
@@ -94,17 +98,41 @@ def _weighted_sums(rows: DataFrame, z: Sequence[Column], weight: Column) -> tupl
     return gram
 
 
+# Earlier rounds that a step of the acceleration looks at.
+MEMORY = 4
+
+
+def _accelerated(points: list[np.ndarray], moves: list[np.ndarray]) -> np.ndarray:
+    """Next point of a fixed-point iteration by Anderson's mixing of the last rounds.
+
+    The plain step is taken at first, and again whenever the last one moved farther
+    than the one before it.
+    """
+    plain = points[-1] + moves[-1]
+    size = [np.max(np.abs(m)) for m in moves[-2:]]
+    if len(moves) < 2 or size[1] > size[0]:
+        del points[:-1], moves[:-1]
+        return plain
+    del points[: -MEMORY - 1], moves[: -MEMORY - 1]
+    d_moves = np.diff(moves, axis=0).T
+    d_points = np.diff(points, axis=0).T
+    share = np.linalg.lstsq(d_moves, moves[-1], rcond=None)[0]
+    mixed = plain - (d_points + d_moves) @ share
+    return mixed if np.all(np.isfinite(mixed)) and np.max(np.abs(mixed - plain)) < 1e3 * size[1] else plain
+
+
 def robust_t_fit(
     df: DataFrame,
     response: str,
     predictors: Sequence[str],
     nu: float = 4.0,
-    max_rounds: int = 200,
+    max_rounds: int = 40,
     tol: float = 1e-10,
 ) -> RobustFit:
     """Maximum likelihood for Student t errors with ``nu`` fixed, by reweighting.
 
     Each round is one mergeable aggregate over the rows, which are settled once.
+    Anderson acceleration mixes the last few rounds, so that about ten suffice.
     ``converged`` tells whether the tolerance was met within ``max_rounds``.
     """
     columns = [*predictors, response]
@@ -119,6 +147,8 @@ def robust_t_fit(
     beta = np.concatenate([[0.0], slopes])
     sigma2 = float((syy - sxy @ np.linalg.solve(sxx, sxy)) / m.n / scale[-1] ** 2)
     converged, rounds = False, 0
+    points: list[np.ndarray] = []
+    moves: list[np.ndarray] = []
     while rounds < max_rounds and not converged:
         residual = z[-1] - F.lit(float(beta[0]))
         for b, c in zip(beta[1:], z):
@@ -129,9 +159,12 @@ def robust_t_fit(
         new = np.linalg.solve(xx, xy)
         # Dividing by the weight sum has the same fixed point and needs far fewer rounds.
         new_sigma2 = float((yy - xy @ new) / gram[0, 0])
-        moved = max(np.max(np.abs(new - beta)), abs(math.log(new_sigma2 / sigma2)))
-        beta, sigma2, rounds = new, new_sigma2, rounds + 1
-        converged = moved < tol
+        points.append(np.append(beta, math.log(sigma2)))
+        moves.append(np.append(new, math.log(new_sigma2)) - points[-1])
+        rounds += 1
+        converged = bool(np.max(np.abs(moves[-1])) < tol)
+        following = _accelerated(points, moves)
+        beta, sigma2 = following[:-1], math.exp(following[-1])
     # Expected information of the t model.
     information = (nu + 1) / (nu + 3) / sigma2
     flat = np.empty((len(columns), len(columns)))

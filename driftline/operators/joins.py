@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.operators.skew import SLICE, range_slices, split_hot
-from driftline.session import broadcast_if_small
+from driftline.operators.skew import SLICE, range_slices
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,14 +33,20 @@ def two_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 
 def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Inner join on all shared column names; rows without a partner vanish."""
+    """Inner join on all shared column names; rows without a partner vanish.
+
+    No job runs while the plan is built; adaptive execution broadcasts a side
+    that turns out small.
+    """
     shared = [c for c in left.columns if c in right.columns]
-    return left.join(broadcast_if_small(right), shared, "inner")
+    if not shared:
+        raise ValueError(f"no shared column: {left.columns} and {right.columns}")
+    return left.join(right, shared, "inner")
 
 
 def lookup(left: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join to a table with one row per key, which is checked."""
-    return left.join(broadcast_if_small(assert_unique(table, [key])), key, "left")
+    """Left join to a table with one row per key; :func:`assert_unique` checks that if in doubt."""
+    return left.join(table, key, "left")
 
 
 def nearest_in_time(
@@ -76,15 +81,9 @@ def nearest_in_time(
         )
     )
     order = [F.col("_t").asc_nulls_last(), F.col("_kind").asc(), F.col("_sample").asc()]
-    split = split_hot(line, [key])
-    found = None
-    if split.ordinary is not None:
-        found = _look_both_ways(split.ordinary, [key], order)
-    if split.hot is not None:
-        sliced = range_slices(split.hot, [key], order, split.hot_rows)
-        across = _look_both_ways(_lend_fixes(sliced, key), [key, SLICE], order)
-        across = across.drop(SLICE)
-        found = across if found is None else found.unionByName(across)
+    sliced = range_slices(line, [key], order)
+    backwards = [F.col("_t").desc_nulls_first(), F.col("_kind").desc(), F.col("_sample").desc()]
+    found = _look_both_ways(_lend_fixes(sliced, key), [key, SLICE], order, backwards)
     gap_before = F.col("_t") - F.col("_prev.t")
     gap_after = F.col("_next.t") - F.col("_t")
     take_prev = F.col("_next").isNull() | (gap_before <= gap_after)
@@ -102,13 +101,15 @@ def nearest_in_time(
     )
 
 
-def _look_both_ways(line: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    ordered = Window.partitionBy(*group).orderBy(*order)
-    back = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = ordered.rowsBetween(0, Window.unboundedFollowing)
-    return line.withColumn("_prev", F.last("_fix", ignorenulls=True).over(back)).withColumn(
-        "_next", F.first("_fix", ignorenulls=True).over(ahead)
-    )
+def _look_both_ways(
+    line: DataFrame, group: Sequence[str], order: Sequence[Column], backwards: Sequence[Column]
+) -> DataFrame:
+    """Last fix at or before each row, and first at or after it: a running last in either direction."""
+    def latest(columns: Sequence[Column]) -> Column:
+        window = Window.partitionBy(*group).orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0)
+        return F.last("_fix", ignorenulls=True).over(window)
+
+    return line.withColumn("_prev", latest(order)).withColumn("_next", latest(backwards))
 
 
 def _lend_fixes(sliced: DataFrame, key: str) -> DataFrame:
@@ -117,11 +118,11 @@ def _lend_fixes(sliced: DataFrame, key: str) -> DataFrame:
         F.max_by("_fix", F.when(F.col("_kind") == 0, F.col("_t"))).alias("_last"),
         F.min_by("_fix", F.when(F.col("_kind") == 0, F.col("_t"))).alias("_first"),
     )
-    ordered = Window.partitionBy(key).orderBy(SLICE)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    after = ordered.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(before)).withColumn(
-        "_after", F.first("_first", ignorenulls=True).over(after)
+    def earlier(place: Column) -> Window:
+        return Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+
+    carried = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier(F.col(SLICE).asc()))).withColumn(
+        "_after", F.last("_first", ignorenulls=True).over(earlier(F.col(SLICE).desc()))
     )
     lent = carried.select(key, SLICE, F.explode(F.array("_before", "_after")).alias("_fix"))
     lent = lent.where(F.col("_fix").isNotNull())
@@ -150,12 +151,13 @@ def box_extract(
 ) -> DataFrame:
     """Mean, SD and median of the grid cells in a box around each point at its time.
 
-    Cells are bucketed at half the box width, and each distinct position visits
-    only the few buckets its box touches, so no nested-loop join is planned.
-    Repeated positions are looked up once.  ``wrap`` joins both sides of +-180.
-    ``grid`` has one row per (product, time, lat, lon).
+    Cells are bucketed at the width of a box, each distinct position visits the
+    two by two buckets its box can touch, and the box test is part of that
+    equi-join, so no nested-loop join is planned.  Repeated positions are looked
+    up once.  ``wrap`` joins both sides of +-180.  Repeated cells of ``grid``
+    (same product, time, lat, lon) are averaged first.
     """
-    width = half
+    width = 2 * half
     spots = points.select(time, lat, lon).distinct()
     copies = [F.col(lon)]
     if wrap:
@@ -164,7 +166,6 @@ def box_extract(
             F.when(F.col(lon) - half < -180, F.col(lon) + 360),
             F.when(F.col(lon) + half > 180, F.col(lon) - 360),
         ]
-    seen = spots.withColumn("_x", F.explode(F.array_compact(F.array(*copies))))
 
     def touched(c: str) -> Column:
         return F.explode(
@@ -174,72 +175,32 @@ def box_extract(
             )
         )
 
-    visits = seen.withColumn("_by", touched(lat)).withColumn("_bx", touched("_x"))
-    # Cells are unique by position, so the list of a bucket and the values of a
-    # box are bounded by the resolution of the grid.
-    cell = F.struct(F.col(lat).alias("y"), F.col(lon).alias("x"), F.col(value).cast("double").alias("v"))
+    visits = (
+        spots.withColumn("_x", F.explode(F.array_compact(F.array(*copies))))
+        .withColumn("_by", touched(lat))
+        .withColumn("_bx", touched("_x"))
+    )
     cells = (
         grid.where(F.col(value).isNotNull())
-        .groupBy(
-            time,
-            F.floor(F.col(lat) / width).cast("bigint").alias("_by"),
-            F.floor(F.col(lon) / width).cast("bigint").alias("_bx"),
-            product,
-        )
-        .agg(F.collect_list(cell).alias("_cells"))
+        .groupBy(time, F.col(lat).alias("_cy"), F.col(lon).alias("_cx"), product)
+        .agg(F.avg(F.col(value).cast("double")).alias("_v"))
+        .withColumn("_by", F.floor(F.col("_cy") / width).cast("bigint"))
+        .withColumn("_bx", F.floor(F.col("_cx") / width).cast("bigint"))
     )
-    bounded = visits.withColumns(
-        {
-            "_south": F.col(lat) - half,
-            "_north": F.col(lat) + half,
-            "_west": F.col("_x") - half,
-            "_east": F.col("_x") + half,
-        }
+    met = visits.join(cells, [time, "_by", "_bx"]).where(
+        F.col("_cy").between(F.col(lat) - half, F.col(lat) + half)
+        & F.col("_cx").between(F.col("_x") - half, F.col("_x") + half)
     )
-
-    def inside(c: Column) -> Column:
-        return (
-            (c["y"] >= F.col("_south"))
-            & (c["y"] <= F.col("_north"))
-            & (c["x"] >= F.col("_west"))
-            & (c["x"] <= F.col("_east"))
-        )
-
-    part = F.transform(F.filter("_cells", inside), lambda c: c["v"])
-    boxes = (
-        bounded.join(cells, [time, "_by", "_bx"])
-        .select(time, lat, lon, product, part.alias("_part"))
-        .groupBy(time, lat, lon, product)
-        .agg(F.sort_array(F.flatten(F.collect_list("_part"))).alias("_v"))
-    )
-    v, n = F.col("_v"), F.size("_v")
-    summary = (
-        boxes.where(n > 0)
-        .withColumn("mean", F.aggregate(v, F.lit(0.0), lambda total, x: total + x) / n)
-        .withColumn(
-            "_ss", F.aggregate(v, F.lit(0.0), lambda total, x: total + (x - F.col("mean")) * (x - F.col("mean")))
-        )
-        .select(
-            time,
-            lat,
-            lon,
-            product,
-            "mean",
-            F.when(n > 1, F.sqrt(F.col("_ss") / (n - 1))).alias("stdev"),
-            _sorted_median(v).alias("med"),
-            n.cast("bigint").alias("cells"),
-        )
+    # The values of a box are bounded by the resolution of the grid.
+    summary = met.groupBy(time, lat, lon, product).agg(
+        F.avg("_v").alias("mean"),
+        F.stddev_samp("_v").alias("stdev"),
+        F.percentile("_v", F.lit(0.5)).alias("med"),
+        F.count("_v").alias("cells"),
     )
     return points.select(point_id, time, lat, lon).join(summary, [time, lat, lon], "left")
 
 
-def _sorted_median(values: Column) -> Column:
-    n = F.size(values)
-    low = F.get(values, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(values, F.floor(n / 2).cast("int"))
-    return low + (high - low) / 2
-
-
 def box_columns(extracted: DataFrame, point_id: str, products: Sequence[str], product: str = "product") -> DataFrame:
     """One row per point with ``<product>_mean``, ``_stdev`` and ``_med`` columns."""
     picks = [

@@ -109,17 +109,21 @@ def _evaluate(sizes: DataFrame, m: Moments, ratios: Sequence[float]) -> dict[flo
     return found
 
 
-# Search range for log10 of the variance ratio and step of each round.
+# First search range for log10 of the variance ratio and step of each round.
 RATIO_LOW = -8.0
 RATIO_HIGH = 6.0
 RATIO_STEPS = (0.5, 0.05, 0.005, 0.0005)
+# Beyond this power of ten the residual variance is numerically zero.
+RATIO_LIMIT = 60.0
 
 
 def random_intercept_fit(df: DataFrame, response: str, predictors: Sequence[str], key: str) -> MixedFit:
     """Exact REML fit of ``response ~ predictors + (1 | key)``.
 
     The variance ratio is found on successively finer grids, all values of a
-    grid in one pass over the table of group sizes.
+    grid in one pass over the table of group sizes.  The first grid moves up
+    until its minimum lies inside; a ratio that tends to zero is taken as zero,
+    one that tends to infinity raises.
     """
     columns = [*predictors, response]
     rows = require(df.select(key, *columns), [key, *columns])
@@ -129,11 +133,17 @@ def random_intercept_fit(df: DataFrame, response: str, predictors: Sequence[str]
 
     low, high = RATIO_LOW, RATIO_HIGH
     for step in RATIO_STEPS:
-        count = round((high - low) / step)
-        logs = [low + step * i for i in range(count + 1)]
-        found = _evaluate(sizes, m, [10.0**v for v in logs])
-        scores = [found[10.0**v][0] for v in logs]
-        best = int(np.argmin(scores))
+        while True:
+            count = round((high - low) / step)
+            logs = [low + step * i for i in range(count + 1)]
+            found = _evaluate(sizes, m, [10.0**v for v in logs])
+            scores = [found[10.0**v][0] for v in logs]
+            best = int(np.argmin(scores))
+            if step != RATIO_STEPS[0] or best < count:
+                break
+            if high >= RATIO_LIMIT:
+                raise ValueError(f"the variance ratio exceeds 1e{RATIO_LIMIT:.0f}")
+            low, high = high - step, high + RATIO_HIGH - RATIO_LOW
         low, high = logs[max(best - 1, 0)], logs[min(best + 1, count)]
     middle = logs[best]
     if 0 < best < count:
@@ -167,10 +177,18 @@ def group_effects(fit: MixedFit, name: str = "effect") -> DataFrame:
 
 @dataclass(frozen=True)
 class BootstrapFit:
-    """Coefficients of every replicate (rows) with the predictor names."""
+    """Coefficients of the replicates (rows) with the predictor names.
+
+    ``asked`` replicates were drawn; those whose weighted design is singular have no row.
+    """
 
     predictors: list[str]
     coef: np.ndarray
+    asked: int
+
+    @property
+    def complete(self) -> bool:
+        return len(self.coef) == self.asked
 
     @property
     def terms(self) -> list[str]:
@@ -207,7 +225,7 @@ def cluster_bootstrap(
         beta = np.linalg.solve(full[:-1, :-1], full[:-1, -1])
         beta[0] += m.mean[-1] - m.mean[:-1] @ beta[1:]
         fits.append(beta)
-    return BootstrapFit(list(predictors), np.array(fits))
+    return BootstrapFit(list(predictors), np.array(fits), replicates)
 
 
 def _replicate_predictions(fit: BootstrapFit) -> Column:
@@ -223,7 +241,12 @@ def _replicate_predictions(fit: BootstrapFit) -> Column:
 
 
 def bootstrap_se(grid: DataFrame, fit: BootstrapFit, name: str = "se") -> DataFrame:
-    """Standard deviation of the replicate predictions at each grid row."""
+    """Standard deviation of the replicate predictions at each grid row.
+
+    NULL if a replicate is missing: the rest would understate the spread.
+    """
+    if not fit.complete:
+        return grid.withColumn(name, F.lit(None).cast("double"))
     count = len(fit.coef)
     predictions = F.col("_p")
     mean = F.aggregate(predictions, F.lit(0.0), lambda a, v: a + v) / count

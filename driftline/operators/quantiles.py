@@ -8,67 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.operators.skew import SLICE, match_keys, range_slices, slice_offsets, split_hot
+from driftline.operators.skew import SLICE, match_keys, range_slices, slice_offsets
 
-# Largest group whose values may sit in one task's memory.
-MAP_LIMIT = 20_000
+# Plain aggregates that the counted values give without another scan.
+FACTS = ("count", "mean", "min", "max")
 
 
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: Mapping[str, tuple[str, float]],
-    extra: Sequence[Column] = (),
+    extra: Mapping[str, tuple[str, str]] | None = None,
     approximate: bool = False,
 ) -> DataFrame:
-    """``wanted`` maps an output name to (column, probability); ``extra`` are plain aggregates.
+    """``wanted`` maps an output name to (column, probability); ``extra`` to (column, one of ``FACTS``).
 
-    ``percentile`` keeps a value map in memory, so it serves small groups only.
-    Groups up to the row limit are sorted by a window, which can spill, and
-    larger ones are ranked across range slices.  ``approximate`` trades exactness for one mergeable sketch per group.
+    The input is scanned once: every column's values are counted per group, with
+    map-side combination, and the distinct values are ranked across range slices.
+    ``approximate`` trades exactness for one mergeable sketch per group.
     """
+    extra = extra or {}
     if approximate:
+        plain = {"count": F.count, "mean": F.avg, "min": F.min, "max": F.max}
+        facts = [plain[kind](c).alias(n) for n, (c, kind) in extra.items()]
         sketches = [F.percentile_approx(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
-        return df.groupBy(*keys).agg(*extra, *sketches)
-    split = split_hot(df, keys)
-    result = None
-    if split.ordinary is not None and split.largest <= MAP_LIMIT:
-        exact = [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()]
-        result = split.ordinary.groupBy(*keys).agg(*extra, *exact)
-    elif split.ordinary is not None:
-        result = _sorted_quantiles(split.ordinary, keys, wanted, extra)
-    if split.hot is not None:
-        ranked = _ranked_quantiles(split, keys, wanted)
-        if extra:
-            ranked = _beside(split.hot.groupBy(*keys).agg(*extra), ranked, keys)
-        result = ranked if result is None else result.unionByName(ranked)
-    return result
-
-
-def _sorted_quantiles(df, keys, wanted, extra):
-    """One shuffle on the keys, one sort per column; the final aggregate stays in place."""
-    ranked = df
-    for column in sorted({c for c, _ in wanted.values()}):
-        group = Window.partitionBy(*keys)
-        ranked = ranked.withColumn(
-            f"_rank_{column}", F.row_number().over(group.orderBy(F.col(column).asc_nulls_last())) - 1
-        ).withColumn(f"_last_{column}", F.count(column).over(group) - 1)
-
-    def at(column: str, rank: Column) -> Column:
-        return F.max(F.when(F.col(f"_rank_{column}") == rank, F.col(column)))
-
-    ends = []
-    for name, (column, p) in wanted.items():
-        place = F.col(f"_last_{column}") * F.lit(float(p))
-        ends += [
-            F.max(place).alias(f"_place_{name}"),
-            at(column, F.floor(place)).alias(f"_low_{name}"),
-            at(column, F.ceil(place)).alias(f"_high_{name}"),
-        ]
-    found = ranked.groupBy(*keys).agg(*extra, *ends)
-    blends = [_blend(F.col(f"_low_{n}"), F.col(f"_high_{n}"), F.col(f"_place_{n}")).alias(n) for n in wanted]
-    kept = [c for c in found.columns if not c.startswith(("_place_", "_low_", "_high_"))]
-    return found.select(*kept, *blends)
+        return df.groupBy(*keys).agg(*facts, *sketches)
+    number = {c: i for i, c in enumerate(sorted({c for c, _ in [*wanted.values(), *extra.values()]}))}
+    values = F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for c, i in number.items()
+    ])
+    # NULL values weigh nothing, but keep their group in the result.
+    weight = F.when(F.col("_v").isNull(), 0).otherwise(F.count(F.lit(1)))
+    copies = df.select(*keys, F.inline(values)).groupBy(*keys, "_c", "_v").agg(weight.alias("_copies"))
+    sliced = range_slices(copies, [*keys, "_c"], [F.col("_v").asc()])
+    facts = sliced.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[_fact(kind, number[c]).alias(n) for n, (c, kind) in extra.items()]
+    )
+    asks = [(n, number[c], p) for n, (c, p) in wanted.items()]
+    return _beside(facts, _ranked(sliced, keys, asks), keys).select(*keys, *extra, *wanted)
+
+
+def _fact(kind: str, number: int) -> Column:
+    own = F.col("_c") == number
+    held = own & (F.col("_copies") > 0)
+    size = F.coalesce(F.sum(F.when(own, F.col("_copies"))), F.lit(0))
+    if kind == "count":
+        return size
+    if kind == "mean":
+        return F.try_divide(F.sum(F.when(held, F.col("_v") * F.col("_copies"))), size)
+    return {"min": F.min, "max": F.max}[kind](F.when(held, F.col("_v")))
 
 
 def _blend(low: Column, high: Column, place: Column) -> Column:
@@ -85,38 +73,23 @@ def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     )
 
 
-def _ranked_quantiles(split, keys, wanted):
-    by_column: dict[str, dict[str, float]] = {}
-    for name, (column, p) in wanted.items():
-        by_column.setdefault(column, {})[name] = p
-    result = split.hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    for column, probabilities in by_column.items():
-        result = _beside(result, _ranked_column(split, keys, column, probabilities), keys)
-    return result.select(*keys, *wanted)
-
-
-def _ranked_column(split, keys, column, probabilities):
-    copies = (
-        split.hot.where(F.col(column).isNotNull())
-        .groupBy(*keys, F.col(column).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    sliced = range_slices(copies, keys, [F.col("_v").asc()], split.hot_rows)
-    offsets = slice_offsets(sliced, keys, F.col("_copies"), "_n")
-    asked = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()])
-    )
-    place = (F.col("_n_total") - 1) * F.col("_ask.p")
+def _ranked(sliced: DataFrame, keys: Sequence[str], asks: Sequence[tuple[str, int, float]]) -> DataFrame:
+    group = [*keys, "_c"]
+    offsets = slice_offsets(sliced, group, F.col("_copies"), "_n")
+    asked = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("q"), F.lit(c).alias("c"), F.lit(float(p)).alias("p")) for n, c, p in asks
+    ]))
     # Only slices that hold one of the two ranks of a quantile are looked into.
     targets = (
         offsets.withColumn("_ask", asked)
-        .withColumn("_place", place)
+        .where(F.col("_ask.c") == F.col("_c"))
+        .withColumn("_place", (F.col("_n_total") - 1) * F.col("_ask.p"))
         .withColumn("_lo", F.floor("_place"))
         .withColumn("_hi", F.ceil("_place"))
         .where((F.col("_hi") >= F.col("_n_before")) & (F.col("_lo") < F.col("_n_before") + F.col("_n_here")))
     )
-    rows = match_keys(sliced, targets, [*keys, SLICE], "inner")
-    running = Window.partitionBy(*keys, SLICE, "_ask.q").orderBy("_v")
+    rows = match_keys(sliced, targets, [*group, SLICE], "inner")
+    running = Window.partitionBy(*group, SLICE, "_ask.q").orderBy("_v")
     upto = F.col("_n_before") + F.sum("_copies").over(running)
     placed = rows.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_copies"))
 
@@ -129,5 +102,5 @@ def _ranked_column(split, keys, column, probabilities):
     )
     blended = _blend(F.col("_low"), F.col("_high"), F.col("_place"))
     return ends.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == n, blended)).alias(n) for n in probabilities]
+        *[F.max(F.when(F.col("_q") == n, blended)).alias(n) for n, _, _ in asks]
     )

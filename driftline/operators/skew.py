@@ -1,24 +1,24 @@
 """Ordered work inside groups of any size.
 
-Spark runs one window group in one task.  Groups below the row limit of the
-session use ordinary windows.  Larger ones are cut into range slices by
-Spark's own range partitioner; the slice number is fixed by a checkpoint, so
-every later step sees the same slices even if executors are lost.
+Spark runs one window group in one task.  Ordered tables are therefore cut into
+range slices by Spark's own range partitioner, whatever the sizes of their
+groups; the slices are fixed by a checkpoint, so every later step sees the same
+ones even if executors are lost.  Only per-slice totals cross slices.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.session import broadcast_if_small, group_limit, settle
+from driftline.session import settle, slice_count
 
 SLICE = "_slice"
+# Rows of a group that look at their neighbours together.
+BLOCK_ROWS = 65_536
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -30,46 +30,13 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-@dataclass(frozen=True)
-class Split:
-    """Rows of groups within the limit and rows of larger groups.
-
-    ``largest`` is the row count of the largest ordinary group, ``hot_rows`` the
-    number of rows in ``hot``.
-    """
-
-    ordinary: DataFrame | None
-    hot: DataFrame | None
-    largest: int = 0
-    hot_rows: int = 0
-
-
-def split_hot(df: DataFrame, keys: Sequence[str]) -> Split:
-    """Separate rows of groups within the row limit from rows of larger groups."""
-    limit = group_limit(df.sparkSession)
-    if not keys:
-        rows = df.count()
-        return Split(df, None, rows) if rows <= limit else Split(None, df, 0, rows)
-    sizes = df.groupBy(*keys).count()
-    big = F.col("count") > limit
-    largest, groups, rows = sizes.agg(
-        F.max(F.when(~big, F.col("count"))), F.count_if(big), F.sum(F.when(big, F.col("count")))
-    ).first()
-    if not groups:
-        return Split(df, None, largest or 0)
-    listed = broadcast_if_small(sizes.where(big).select(*keys))
-    ordinary = match_keys(df, listed, keys, "left_anti")
-    return Split(ordinary, match_keys(df, listed, keys, "left_semi"), largest or 0, rows)
-
-
-def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int) -> DataFrame:
-    """Tag rows with ``_slice``: contiguous in (keys, order), about half the limit each.
+def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Tag rows with ``_slice``: contiguous in (keys, order), a small multiple of the shuffle partitions.
 
     ``order`` must be total within a group, otherwise equal rows stay together.
-    ``rows`` is the row count or an upper bound of it.
+    Slices are sorted by later windows, which spill.
     """
-    parts = max(2, math.ceil(2 * rows / group_limit(df.sparkSession)))
-    ranged = df.repartitionByRange(parts, *[F.col(k).asc() for k in keys], *order)
+    ranged = df.repartitionByRange(slice_count(df.sparkSession), *[F.col(k).asc() for k in keys], *order)
     return settle(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -83,15 +50,19 @@ def slice_offsets(sliced: DataFrame, keys: Sequence[str], weight: Column, name:
         SLICE,
         F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias(f"{name}_before"),
         F.col("_w").alias(f"{name}_here"),
-        F.sum("_w").over(group.orderBy(SLICE).rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)).alias(f"{name}_total"),
+        F.sum("_w").over(group).alias(f"{name}_total"),
     )
 
 
-def _numbered_slices(
-    split: Split, keys: Sequence[str], order: Sequence[Column], name: str, total: str
+def number_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    name: str = "row_no",
+    total: str = "group_rows",
 ) -> DataFrame:
-    sliced = range_slices(split.hot, keys, order, split.hot_rows)
+    """Exact 1-based row number and group size, for groups of any size."""
+    sliced = range_slices(df, keys, order)
     offsets = slice_offsets(sliced, keys, F.lit(1), "_n")
     joined = match_keys(sliced, offsets, [*keys, SLICE], "inner")
     within = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
@@ -102,27 +73,6 @@ def _numbered_slices(
     )
 
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    name: str = "row_no",
-    total: str = "group_rows",
-) -> DataFrame:
-    """Exact 1-based row number and group size, for groups of any size."""
-    split = split_hot(df, keys)
-    numbered = []
-    if split.ordinary is not None:
-        group = Window.partitionBy(*keys)
-        numbered.append(
-            split.ordinary.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("bigint"))
-            .withColumn(total, F.count(F.lit(1)).over(group))
-        )
-    if split.hot is not None:
-        numbered.append(_numbered_slices(split, keys, order, name, total))
-    return _together(numbered)
-
-
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -130,48 +80,28 @@ def with_neighbours(
     column: str,
     steps: Sequence[int],
     prefix: str = "at",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``column`` of the rows ``step`` places away (negative: before) in each group.
 
-    Hot groups are numbered once, cut into blocks of equal length, and each
+    Rows are numbered once and groups cut into blocks of equal length; each
     block borrows the few rows it needs from its neighbours.
     """
-    split = split_hot(df, keys)
-    done = []
-    if split.ordinary is not None:
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        done.append(_shifted(split.ordinary, whole, column, steps, prefix))
-    if split.hot is not None:
-        reach = max(abs(s) for s in steps)
-        block = max(group_limit(df.sparkSession), reach)
-        place = F.col("_row") - 1
-        home = F.floor(place / block)
-        inside = place % block
-        homes = F.array(
-            home,
-            F.when(inside < reach, home - 1),
-            F.when(inside >= block - reach, home + 1),
-        )
-        lent = (
-            _numbered_slices(split, keys, order, "_row", "_rows")
-            .withColumn("_home", home)
-            .withColumn("_block", F.explode(F.array_compact(homes)))
-        )
-        shifted = _shifted(lent, Window.partitionBy(*keys, "_block").orderBy("_row"), column, steps, prefix)
-        done.append(
-            shifted.where(F.col("_block") == F.col("_home")).drop("_row", "_rows", "_home", "_block")
-        )
-    return _together(done)
-
-
-def _shifted(df, window, column, steps, prefix):
-    return df.select(
-        "*", *[F.lead(column, s).over(window).alias(f"{prefix}{s:+d}") for s in steps]
+    reach = max(abs(s) for s in steps)
+    block = max(block_rows, reach)
+    place = F.col("_row") - 1
+    home = F.floor(place / block)
+    inside = place % block
+    homes = F.array(
+        home,
+        F.when(inside < reach, home - 1),
+        F.when(inside >= block - reach, home + 1),
     )
-
-
-def _together(parts: list[DataFrame]) -> DataFrame:
-    first, *rest = parts
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    lent = (
+        number_rows(df, keys, order, "_row", "_rows")
+        .withColumn("_home", home)
+        .withColumn("_block", F.explode(F.array_compact(homes)))
+    )
+    window = Window.partitionBy(*keys, "_block").orderBy("_row")
+    shifted = lent.select("*", *[F.lead(column, s).over(window).alias(f"{prefix}{s:+d}") for s in steps])
+    return shifted.where(F.col("_block") == F.col("_home")).drop("_row", "_rows", "_home", "_block")

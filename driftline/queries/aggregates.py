@@ -111,8 +111,8 @@ u AS (SELECT *, CASE WHEN NOT (2 * base - cell < 1.5::double * (cell - base)) TH
     WHEN NOT (5 * base - cell < 2.75::double * (cell - 2 * base)) THEN 2 * base
     WHEN NOT (10 * base - cell < 1.5::double * (cell - 5 * base)) THEN 5 * base ELSE 10 * base END AS unit FROM b),
 f AS (SELECT unit, floor(lo / unit + 1e-7::double) AS first_step, ceil(hi / unit - 1e-7::double) AS last_step FROM u),
-h AS (SELECT unit, first_step * unit AS start, greatest(last_step - first_step, 1)::bigint AS classes FROM f),
-placed AS (SELECT CASE WHEN value = start THEN 1 ELSE ceil((value - start) / unit) END::bigint AS class_no, count(*) AS n
+h AS (SELECT unit, first_step, first_step * unit AS start, greatest(last_step - first_step, 1)::bigint AS classes FROM f),
+placed AS (SELECT greatest(1, least(classes, ceil(value / unit - 1e-7::double) - first_step))::bigint AS class_no, count(*) AS n
   FROM events, h GROUP BY 1)
 SELECT g.class_no, {sql_rnd('start + (g.class_no - 1) * unit')} AS class_low, {sql_rnd('start + (g.class_no - 1) * unit + unit')} AS class_high,
   coalesce(placed.n, 0)::bigint AS n
@@ -122,6 +122,17 @@ def q_hist(t):
     return rounded(histogram(t.events, "value"), class_low=6, class_high=6)
 
 
+# Every value lies on a break; the SQL counts in whole hundredths.
+@query(
+    "q_hist_breaks",
+    f"""WITH c AS (SELECT greatest(1, round(l_discount * 100)::bigint) AS class_no, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT g.class_no, {sql_rnd('(g.class_no - 1) / 100.0::double')} AS class_low, {sql_rnd('g.class_no / 100.0::double')} AS class_high,
+  coalesce(c.n, 0)::bigint AS n FROM generate_series(1, 10) g(class_no) LEFT JOIN c ON c.class_no = g.class_no""",
+)
+def q_hist_breaks(t):
+    return rounded(histogram(t.lineitem, "l_discount", 10), class_low=6, class_high=6)
+
+
 QUARTILES = """q AS (SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
   quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type)"""
 OUTSIDE = "value < q1 - 1.5::double * (q3 - q1) OR value > q3 + 1.5::double * (q3 - q1)"

@@ -1,7 +1,7 @@
 """Session settings and the two ways this library makes a result durable.
 
-Nothing here builds a plan; it reads limits from the session and settles
-intermediate tables in the shared folder the cluster names.
+Nothing here builds a plan; intermediate tables are settled in the shared folder
+the cluster names.
 """
 
 from __future__ import annotations
@@ -10,14 +10,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A group with more rows than this is never handled by a single task.
-GROUP_LIMIT_KEY = "spark.driftline.maxGroupRows"
-GROUP_LIMIT = 1_000_000
-# A table with more rows than this is never broadcast.
-BROADCAST_LIMIT_KEY = "spark.driftline.maxBroadcastRows"
-BROADCAST_LIMIT = 200_000
+# Range slices of an ordered table, for each shuffle partition of the session.
+SLICES_PER_PARTITION = 2
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,12 +39,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def group_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_LIMIT_KEY, str(GROUP_LIMIT)))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_LIMIT_KEY, str(BROADCAST_LIMIT)))
+def slice_count(spark: SparkSession) -> int:
+    return SLICES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,15 +64,3 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(table: DataFrame) -> DataFrame:
-    """Settle ``table`` and mark it for broadcast only if its row count allows it.
-
-    Above the limit the table is returned unmarked, and Spark shuffles both
-    sides under adaptive skew handling.
-    """
-    settled = settle(table)
-    if settled.count() <= broadcast_limit(table.sparkSession):
-        return F.broadcast(settled)
-    return settled

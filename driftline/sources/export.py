@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.joins import two_key_join
-from driftline.operators.skew import split_hot
 from driftline.sources.delimited import NULL_TEXT
 
 ROWS_PER_FILE = 5_000_000
@@ -25,20 +23,17 @@ def export_by_key(
 ) -> None:
     """One folder of CSV files per animal.
 
-    An animal's rows meet in one task, except that animals beyond the row limit
-    of the session are spread over all tasks by input partition.  The id stays
-    inside the files, so its text is read back unchanged.
+    An animal's rows are brought together once; adaptive execution joins small
+    animals in one task and splits large ones over several.  The id stays inside
+    the files, so its text is read back unchanged.  A column called ``animal``
+    would be lost to the folder names and is refused.
     """
-    picked = (df.select(*columns) if columns else df).withColumn("animal", F.col(key))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = split_hot(picked, ["animal"])
-    gathered = []
-    if split.ordinary is not None:
-        gathered.append(split.ordinary.repartition(tasks, "animal"))
-    if split.hot is not None:
-        gathered.append(split.hot.repartition(tasks, F.col("animal"), F.spark_partition_id()))
+    picked = df.select(*columns) if columns else df
+    if "animal" in picked.columns:
+        raise ValueError("a column called animal cannot be exported")
     (
-        reduce(DataFrame.unionByName, gathered)
+        picked.withColumn("animal", F.col(key))
+        .hint("rebalance", "animal")
         .write.mode(mode)
         .partitionBy("animal")
         .option("header", True)

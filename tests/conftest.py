@@ -8,7 +8,7 @@ import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from driftline.session import BROADCAST_LIMIT_KEY, GROUP_LIMIT_KEY, build_session  # noqa: E402
+from driftline.session import build_session  # noqa: E402
 
 DATA = os.environ.get("DRIFTLINE_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -29,16 +29,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture
-def tiny_limits(spark):
-    """Make nearly every group count as large and nearly every table as too big to broadcast."""
-    spark.conf.set(GROUP_LIMIT_KEY, "3")
-    spark.conf.set(BROADCAST_LIMIT_KEY, "2")
-    yield
-    spark.conf.unset(GROUP_LIMIT_KEY)
-    spark.conf.unset(BROADCAST_LIMIT_KEY)
-
-
 @pytest.fixture(scope="session")
 def data():
     return DATA

@@ -195,7 +195,7 @@ def test_serial_checks(spark, rows):
     check_serial(spark, rows)
 
 
-def test_serial_checks_on_large_groups(spark, rows, tiny_limits):
+def test_serial_checks_on_large_groups(spark, rows):
     check_serial(spark, rows)
 
 

@@ -96,8 +96,8 @@ def check_numbers(df):
             assert got[r.id] == (i, len(rows))
 
 
-def check_neighbours(df):
-    shifted = with_neighbours(df, ["k"], [F.col("id")], "x", [-2, -1, 1])
+def check_neighbours(df, block_rows):
+    shifted = with_neighbours(df, ["k"], [F.col("id")], "x", [-2, -1, 1], block_rows=block_rows)
     got = {r.id: (r["at-2"], r["at-1"], r["at+1"]) for r in shifted.collect()}
     assert len(got) == df.count()
     for rows in by_group(df).values():
@@ -109,7 +109,7 @@ def check_neighbours(df):
 
 def check_quantiles(df):
     wanted = {"lo": ("x", 0.025), "mid": ("x", 0.5), "hi": ("x", 0.9), "ids": ("id", 0.3)}
-    found = group_quantiles(df, ["k"], wanted, [F.count("x").alias("n")]).collect()
+    found = group_quantiles(df, ["k"], wanted, {"n": ("x", "count")}).collect()
     groups = by_group(df)
     assert len(found) == len(groups)
     for r in found:
@@ -119,20 +119,22 @@ def check_quantiles(df):
         assert r.ids == pytest.approx(np.quantile([v.id for v in groups[r.k]], 0.3))
 
 
-def test_group_work_plain(skewed):
+@pytest.mark.parametrize("block_rows", [1, 3, 1000])
+def test_group_work(skewed, block_rows):
     check_numbers(skewed)
-    check_neighbours(skewed)
+    check_neighbours(skewed, block_rows)
     check_quantiles(skewed)
 
 
-def test_group_work_on_large_groups(skewed, tiny_limits):
-    check_numbers(skewed)
-    check_neighbours(skewed)
-    check_quantiles(skewed)
+def test_missing_group_keeps_its_row(spark):
+    df = spark.createDataFrame([("a", None), ("b", 2.0)], "k string, x double")
+    rows = group_quantiles(df, ["k"], {"q": ("x", 0.5)}, {"n": ("x", "count"), "m": ("x", "mean")}).collect()
+    assert {(r.k, r.n, r.m, r.q) for r in rows} == {("a", 0, None, None), ("b", 1, 2.0, 2.0)}
+    assert tuple(group_quantiles(df.limit(0), [], {"q": ("x", 0.5)}, {"n": ("x", "count")}).first()) == (0, None)
 
 
-def test_whole_table_quantiles(spark, skewed, tiny_limits):
-    row = group_quantiles(skewed, [], {"a": ("x", 0.1), "b": ("id", 0.77)}, [F.avg("x").alias("m")]).first()
+def test_whole_table_quantiles(spark, skewed):
+    row = group_quantiles(skewed, [], {"a": ("x", 0.1), "b": ("id", 0.77)}, {"m": ("x", "mean"), "low": ("x", "min")}).first()
     x = [r.x for r in skewed.collect() if r.x is not None]
     ids = [r.id for r in skewed.collect()]
     assert (row.a, row.b, row.m) == pytest.approx((np.quantile(x, 0.1), np.quantile(ids, 0.77), np.mean(x)))
@@ -170,8 +172,13 @@ def test_nearest(spark):
     check_nearest(spark)
 
 
-def test_nearest_on_large_groups(spark, tiny_limits):
-    check_nearest(spark)
+def test_nearest_is_linear(spark):
+    times = spark.range(100_000).select(F.lit("one").alias("k"), F.col("id").alias("sid"), (F.col("id") * 10).alias("st"))
+    fixes = times.select("k", F.col("sid").alias("fid"), (F.col("st") + 3).alias("ft"))
+    found = nearest_in_time(times, fixes, "k", "sid", "st", "ft", "fid", [])
+    plan = found._jdf.queryExecution().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    assert found.where("sid = fid AND gap = 3").count() == 100_000
 
 
 def test_nearest_tie_takes_earlier_fix(spark):
@@ -246,14 +253,28 @@ def test_mass_change_and_box(spark):
 
 
 def test_histogram_breaks(spark):
-    assert pretty_breaks(0.3, 9.7, 5) == (0.0, 2.0, 5)
+    assert pretty_breaks(0.3, 9.7, 5) == (0, 2.0, 5)
     df = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 4.0, None)], "x double")
     counts = {r.class_no: r.n for r in fixed_histogram(df, "x", 0.0, 1.0, 4).collect()}
-    assert counts == {1: 2, 2: 2, 3: 0, 4: 1}
+    assert counts == {0: 0, 1: 2, 2: 2, 3: 0, 4: 1, 5: 0}
+    outside = {r.class_no: r.n for r in fixed_histogram(df, "x", 1.0, 0.5, 2).collect()}
+    assert outside == {0: 1, 1: 2, 2: 1, 3: 1}
     assert sum(r.n for r in histogram(df, "x").collect()) == 5
     assert histogram(df.where("x > 99"), "x").count() == 0
 
 
+@pytest.mark.parametrize(("low", "step", "n", "classes"), [(3, 10, 11, 10), (3, 10, 10, None), (-7, 100, 40, 13), (1, 1000, 900, None)])
+def test_histogram_keeps_every_row_in_its_right_closed_class(spark, low, step, n, classes):
+    values = [(low + i) / step for i in range(n)]
+    rows = histogram(spark.createDataFrame([(v,) for v in values], "x double"), "x", classes).collect()
+    assert sum(r.n for r in rows) == n
+    first, unit, count = pretty_breaks(values[0], values[-1], classes or int(np.ceil(np.log2(n) + 1)))
+    scaled = round(unit * step)  # the class width in whole steps
+    for r in rows:
+        under, upper = (first + r.class_no - 1) * scaled, (first + r.class_no) * scaled
+        assert r.n == sum(under < low + i <= upper or r.class_no == 1 and low + i == under for i in range(n))
+
+
 def test_box_stats(spark):
     values = [1.0, 2.0, 3.0, 4.0, 100.0]
     row = box_stats(spark.createDataFrame([("g", v) for v in values], "g string, x double"), "g", "x").first()

@@ -8,8 +8,6 @@ import pytest
 import __spark_entry__ as entry_module
 from driftline.queries import ORACLE as SQL
 from driftline.queries import QUERIES
-from driftline.session import BROADCAST_LIMIT_KEY, GROUP_LIMIT_KEY
-
 
 
 @pytest.fixture(scope="module")
@@ -42,23 +40,5 @@ def test_query_matches_sql(spark, duck, data, name):
         assert rows == expected
 
 
-# Queries whose operators treat large groups or large tables differently.
-LARGE = [
-    "q_boxstats", "q_box_outliers", "q_summary_exp", "q_quantiles", "q_stride", "q_nearest", "q_dw", "q_acf", "q_pacf",
-    "q_qq", "q_qq_line", "q_kde", "q_natural_inner", "q_lookup", "q_export_by_animal", "q_daily_median",
-]
-
-
-@pytest.mark.parametrize("name", LARGE)
-def test_large_group_paths_match_sql(spark, duck, data, name):
-    spark.conf.set(GROUP_LIMIT_KEY, "50" if name not in ("q_nearest", "q_daily_median") else "10")
-    spark.conf.set(BROADCAST_LIMIT_KEY, "2")
-    try:
-        assert spark_rows(QUERIES[name](spark, data)) == duck_rows(duck, SQL[name])
-    finally:
-        spark.conf.unset(GROUP_LIMIT_KEY)
-        spark.conf.unset(BROADCAST_LIMIT_KEY)
-
-
 def test_entry(spark):
     assert entry_module.entry(spark).columns[0] == "seal_id"

@@ -93,7 +93,7 @@ def test_export_by_animal(spark, tmp_path):
     check_export(spark, str(tmp_path / "out"))
 
 
-def test_export_of_large_animals(spark, tmp_path, tiny_limits):
+def test_export_of_large_animals(spark, tmp_path):
     check_export(spark, str(tmp_path / "out"))
 
 
