@@ -5,7 +5,8 @@ size gives quantile boundaries; exact sums of all rows over the ranges follow, a
 ranges that hold too much are sampled again and cut until each fits or is a
 single key.  Boundaries lie between first keys, so rows that share one stay
 together, unless such a group alone overfills a range; then it is cut by the
-second key.  What reaches the driver is a sample of ``SAMPLES`` keys and one row
+second key.  Shards are runs of ranges, and end inside a group only if that brings
+them clearly nearer to equal sizes.  What reaches the driver is a sample of ``SAMPLES_PER_RANGE`` keys and one row
 a range, whatever the size of the input.
 """
 
@@ -23,6 +24,7 @@ from driftline.llm.common import text_bytes, written
 
 RANGES_PER_SHARD = 256
 SAMPLES_PER_RANGE = 8
+EDGE_SLACK = 0.01  # of a shard, given up to keep rows with one first key together
 LOWEST = -(1 << 63)
 HIGHEST = (1 << 63) - 1
 ROUNDS = 64
@@ -107,7 +109,7 @@ def sampled_splitters(keys: DataFrame, ranges: int) -> tuple[Splitters, list]:
         parts = (
             keys.groupBy(splitters.range_of(F.col("one"), F.col("two")).alias("part"))
             .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), F.sum(mass).alias("mass"),
-                 F.min("one").alias("low"), F.max("one").alias("high"),
+                 F.max("size").alias("largest"), F.min("one").alias("low"), F.max("one").alias("high"),
                  F.min("two").alias("first"), F.max("two").alias("last"))
             .orderBy("part").collect()
         )
@@ -128,13 +130,29 @@ def key_columns(text: Column, key: Column) -> dict[str, Column]:
 
 
 def _shard_of(parts: list, shards: int) -> list[tuple[int, int, int]]:
-    """For each range: its shard, by the middle of its bytes, and the rows before it there."""
-    total, done, filled, out = sum(p.size for p in parts), 0, {}, []
-    for p in parts:
-        shard = min(shards - 1, int(shards * (done + p.size / 2) / total))
+    """For each range: its shard, and the rows before it there.
+
+    A shard ends at the range edge nearest to its share of the bytes, or at the
+    nearest edge that parts no first key if that is hardly farther off.
+    """
+    total, largest = sum(p.size for p in parts), max((p.largest for p in parts), default=0)
+    slack = max(EDGE_SLACK * total / shards, largest)
+    edges, done = [], 0  # (bytes before the range, its place, whether it begins a first key)
+    for i, p in enumerate(parts):
+        edges.append((done, i, i == 0 or p.low != parts[i - 1].high))
+        done += p.size
+    edges.append((total, len(parts), True))
+    ends = []
+    for shard in range(1, shards):
+        wanted = total * shard / shards
+        near = min(edges, key=lambda e: abs(e[0] - wanted))
+        whole = min((e for e in edges if e[2]), key=lambda e: abs(e[0] - wanted))
+        ends.append((whole if abs(whole[0] - wanted) <= slack else near)[1])
+    filled, out = {}, []
+    for i, p in enumerate(parts):
+        shard = bisect_right(ends, i)
         out.append((p.part, shard, filled.get(shard, 0)))
         filled[shard] = filled.get(shard, 0) + p.rows
-        done += p.size
     return out
 
 
@@ -161,8 +179,8 @@ def shard_keys(docs: DataFrame, shards: int, key: str = "doc_id", text_col: str
     """``key``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row.
 
     Size is the UTF-8 length plus one.  NULL texts count as empty, NULL keys come
-    first.  Rows with equal texts share a shard unless they overfill a range; rows
-    equal in text and key always do.  An empty table gives an empty table.
+    first.  Rows with equal texts share a shard unless a large group lies across its
+    end; rows equal in text and key always do.  An empty table gives an empty table.
     """
     made = docs.select(
         F.col(key).alias("_key"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("text_crc32"),
