@@ -175,6 +175,19 @@ def group_effects(fit: MixedFit, name: str = "effect") -> DataFrame:
     return fit.sums.select(fit.key, F.col("_n").alias("n"), (shrink * left).alias(name))
 
 
+def predict_by_group(grid: DataFrame, fit: MixedFit, name: str = "fit") -> DataFrame:
+    """Prediction at each grid row with the animal's own intercept shift.
+
+    Animals the fit has not seen, and rows without an animal, get the fixed part.
+    """
+    fixed = F.lit(float(fit.coef[0]))
+    for b, column in zip(fit.coef[1:], fit.predictors):
+        fixed = fixed + F.lit(float(b)) * F.col(column)
+    effects = group_effects(fit, "_effect").select(fit.key, "_effect")
+    joined = grid.join(effects, fit.key, "left")
+    return joined.withColumn(name, fixed + F.coalesce("_effect", F.lit(0.0))).drop("_effect")
+
+
 @dataclass(frozen=True)
 class BootstrapFit:
     """Coefficients of the replicates (rows) with the predictor names.

@@ -89,6 +89,8 @@ def env_points(t):
     x = F.lit(179.5) + (e * 7 % 97) / 100.0
     return t.events.select(
         "event_id",
+        "user_id",
+        "ts",
         F.to_date("ts").alias("time"),
         (F.lit(30.0) + (e % 100) / 100.0).alias("lat"),
         F.when(x > 180, x - 360).otherwise(x).alias("lon"),

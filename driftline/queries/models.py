@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import scalars as sc
 from driftline.operators import diagnostics as dg
 from driftline.operators.glm import gamma_glm, robust_t_fit
-from driftline.operators.grids import dummies, levels
+from driftline.operators.grids import dummies, expand_grid, levels
 from driftline.operators.linear import (
     breusch_pagan,
     coef_table,
@@ -27,6 +27,7 @@ from driftline.operators.mixed import (
     bootstrap_se,
     cluster_bootstrap,
     group_effects,
+    predict_by_group,
     random_intercept_fit,
 )
 from driftline.operators.slopes import random_slopes_fit
@@ -369,6 +370,20 @@ def q_blup(t):
     return rounded(group_effects(reml(t)), effect=3)
 
 
+@query(
+    "q_predict_by_animal",
+    f"""WITH {REML}, g AS (SELECT animal, h::double AS hours FROM (SELECT DISTINCT animal FROM fixes UNION ALL SELECT -1)
+  CROSS JOIN (VALUES (0), (360)) v(h))
+SELECT g.animal, g.hours, {sql_rnd('ym + b0 + b1 * (g.hours - xm) + coalesce(t / (1 + grp.n * t) * (sy - grp.n * b0 - b1 * sx), 0)', 3)} AS fit
+FROM g CROSS JOIN fin CROSS JOIN c LEFT JOIN grp ON grp.animal = g.animal""",
+)
+def q_predict_by_animal(t):
+    animals = t.fixes().select("animal").distinct()
+    unknown = animals.limit(1).select(F.lit(-1).cast(animals.schema["animal"].dataType).alias("animal"))
+    grid = expand_grid(animals.union(unknown), {"hours": [0.0, 360.0]})
+    return rounded(predict_by_group(grid, reml(t)).select("animal", "hours", "fit"), fit=3)
+
+
 @query("q_random_slopes")
 def q_random_slopes(t):
     fit = random_slopes_fit(timed(t), "value", ["hours", "lat"], ["lat"], "animal", tol=1e-4)

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from driftline.functions.timeconv import parse_dashed_date, serial_to_date
 from driftline.queries.registry import FIXES, query, rnd, rounded, sql_rnd
 from driftline.session import scratch_path
-from driftline.sources.delimited import from_decimal_comma, read_delimited, read_fix_text, write_decimal_comma
-from driftline.sources.export import export_by_key, materialise, route_by_completeness
-from driftline.sources.multifile import read_many, repair_aliases, with_owner
+from driftline.sources.delimited import (
+    from_decimal_comma,
+    read_delimited,
+    read_fix_text,
+    read_growth_worksheet,
+    write_decimal_comma,
+)
+from driftline.sources.export import export_by_key, export_routes, materialise, route_by_completeness
+from driftline.sources.multifile import read_many, repair_aliases, with_owner, year_of_trip
 
 TRACK_TYPES = {"JulDate": "double", "Lat": "double", "Lon": "double", "Long": "double", "FixID": "bigint"}
 
@@ -133,7 +139,54 @@ def q_conditional_export(t):
     dive_stat = fixes.select("animal", F.col("fix_id").alias("dive_number"), "value")
     dive_type = fixes.where(F.col("kind") != "error").select("animal", F.col("fix_id").alias("dive_number"), "day")
     track = fixes.select("animal", "fix_id", "day")
-    dives, others = route_by_completeness(meta, dive_stat, dive_type, track, "animal", "complete")
+    renamed = [d.withColumnRenamed("animal", "seal") for d in (meta, dive_stat, dive_type, track)]
+    sinks = export_routes(*route_by_completeness(*renamed, "seal", "complete"), scratch_path(t.spark, "routes"), "seal")
+    kind = meta.schema["animal"].dataType.simpleString()
+    dives = read_delimited(t.spark, sinks[0], f"seal {kind}, dive_number bigint, value double, day date")
+    others = read_delimited(t.spark, sinks[1], f"seal {kind}, fix_id bigint, day date")
+    animal = F.col("seal").alias("animal")
     return dives.select(
-        F.lit("dives").alias("route"), "animal", F.col("dive_number").alias("fix_id"), "value", "day"
-    ).unionByName(others.withColumn("route", F.lit("track")), allowMissingColumns=True)
+        F.lit("dives").alias("route"), animal, F.col("dive_number").alias("fix_id"), "value", "day"
+    ).unionByName(others.select(F.lit("track").alias("route"), animal, "fix_id", "day"), allowMissingColumns=True)
+
+
+# One banner, header or filler line for each row, and the rows themselves with decimal commas.
+@query(
+    "q_worksheet",
+    """SELECT l_suppkey::varchar AS seal_id, l_quantity / 5 AS lrec, l_shipdate::date AS rec_date,
+  (l_shipdate::date - date '1970-01-01')::int AS rec_day FROM lineitem""",
+)
+def q_worksheet(t):
+    path = scratch_path(t.spark, "worksheet")
+    day = F.to_date("l_shipdate")
+    comma = F.regexp_replace((F.col("l_quantity") / 5).cast("string"), r"\.", ",")
+    row = F.concat_ws(
+        ";", F.col("l_suppkey").cast("string"), F.lit("2,7;-0,1;14,41"), comma, F.lit("1;0,01;0,5"),
+        F.date_format(day, "M/d/yyyy"), F.unix_date(day).cast("string"), F.lit("1;1/1/1970;;"),
+    )
+    filler = F.when(F.col("l_linenumber") == 1, "Growth model;;;;;;;;;;;;;").when(
+        F.col("l_linenumber") == 2, "SealID;e;exponent;Linf;Lrec;power;K;partial;RecDate;RecDay;T0;T0;T0;T0"
+    ).otherwise(";;;;;;;;;;;;;")
+    t.lineitem.select(F.explode(F.array(filler, row)).alias("value")).write.text(path)
+    return read_growth_worksheet(t.spark, path).select("seal_id", "lrec", "rec_date", "rec_day")
+
+
+@query(
+    "q_trip_year",
+    f"""WITH {FIXES}, trips AS (SELECT fix_id, 2000 + animal % 20 AS year FROM fixes)
+SELECT year::int AS year, count(*) AS n, min(fix_id) AS first_id FROM trips WHERE year BETWEEN 2004 AND 2015 GROUP BY year""",
+)
+def q_trip_year(t):
+    number = (2000 + F.col("animal") % 20) * 1000 + F.col("animal") % 1000
+    year = year_of_trip(number.cast("int"))
+    trips = t.fixes().withColumn("year", year).where(F.col("year").between(2004, 2015))
+    return trips.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("fix_id").alias("first_id"))
+
+
+@query(
+    "q_first_rows",
+    f"""WITH {FIXES} SELECT fix_id, {sql_rnd('max(value) OVER ()')} AS peak FROM fixes ORDER BY ts, fix_id LIMIT 6""",
+)
+def q_first_rows(t):
+    peak = t.fixes().agg(F.max("value")).scalar()
+    return t.fixes().withColumn("peak", rnd(peak)).orderBy("ts", "fix_id").limit(6).select("fix_id", "peak")

@@ -64,6 +64,14 @@ def route_by_completeness(
     return dives, track.join(broken, key, "left_semi")
 
 
+def export_routes(dives: DataFrame, track: DataFrame, path: str, key: str) -> tuple[str, str]:
+    """Write both sinks of :func:`route_by_completeness`; returns their folders."""
+    folders = f"{path}/dives", f"{path}/track"
+    for df, folder in zip((dives, track), folders):
+        export_by_key(df, folder, key)
+    return folders
+
+
 def materialise(df: DataFrame, path: str, key: Sequence[str] = (), mode: str = "overwrite") -> DataFrame:
     """Write an intermediate as parquet and continue from the files."""
     kept = df.hint("rebalance", *key) if key else df
