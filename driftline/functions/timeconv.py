@@ -56,10 +56,6 @@ def parse_us_minute(text: Column) -> Column:
     return F.try_to_timestamp(F.trim(text), F.lit("M/d/yyyy H:mm"))
 
 
-def days_between(later: Column, earlier: Column) -> Column:
-    return later - earlier
-
-
 def days_since_june(day: Column) -> Column:
     """Days since the latest June 1 on or before ``day``."""
     season = F.year(day) - F.when(F.month(day) < SEASON_MONTH, 1).otherwise(0)

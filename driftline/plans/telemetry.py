@@ -12,10 +12,8 @@ from driftline.operators.joins import box_columns, box_extract
 from driftline.operators.windows import first_per_day
 from driftline.plans.study import DRIFT_DIVE_TYPE
 
-# Exported columns of each table.
-TRACK_COLUMNS = ("SealID", "JulDate", "Lat", "Lon")
+# Exported columns of the dive table.
 DIVE_TYPE_COLUMNS = ("SealID", "DiveNumber", "DriftRate", "DiveType", "DiveTypeName")
-DIVE_STAT_COLUMNS = ("SealID", "DiveNumber", "Year", "Month", "Day", "Hour", "Min", "JulDate")
 
 
 def drift_dives(dive_type: DataFrame) -> DataFrame:

@@ -388,7 +388,7 @@ def q_predict_by_animal(t):
 def q_random_slopes(t):
     fit = random_slopes_fit(timed(t), "value", ["hours", "lat"], ["lat"], "animal", tol=1e-4)
     rows = [(n, float(b), float(s)) for n, b, s in zip(fit.terms, fit.coef, fit.std_error)]
-    rows += [("sigma", fit.sigma2**0.5, None)]
+    rows += [("sigma", fit.sigma2**0.5, None), ("converged", float(fit.converged), None)]
     return rounded(t.spark.createDataFrame(rows, "term string, estimate double, std_error double"), estimate=4, std_error=4)
 
 

@@ -144,13 +144,16 @@ def q_bins_closed_right(t):
 
 @query(
     "q_bins_closed_left",
-    """WITH d AS (SELECT l_orderkey, l_linenumber, 10.0::double + l_quantity / 8.0::double AS x FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN x >= 11 AND x < 12.5 THEN 'Low' WHEN x >= 12.5 AND x < 14 THEN 'Medium'
-  WHEN x >= 14 AND x < 15.5 THEN 'Medium-high' ELSE 'High' END AS class FROM d""",
+    """WITH d AS (SELECT l_orderkey, l_linenumber, 10.0::double + l_quantity / 8.0::double AS x FROM lineitem),
+classed AS (SELECT l_orderkey, l_linenumber, CASE WHEN x >= 11 AND x < 12.5 THEN 'Low' WHEN x >= 12.5 AND x < 14 THEN 'Medium'
+  WHEN x >= 14 AND x < 15.5 THEN 'Medium-high' ELSE 'High' END AS class FROM d)
+SELECT *, CASE class WHEN 'Low' THEN '11 to 12.5' WHEN 'Medium' THEN '12.5 to 14' WHEN 'Medium-high' THEN '14 to 15.5'
+  ELSE '> 15.5' END AS label FROM classed""",
 )
 def q_bins_closed_left(t):
     x = F.lit(10.0) + F.col("l_quantity") / 8.0
-    return t.lineitem.select("l_orderkey", "l_linenumber", bins.nitrogen_class(x).alias("class"))
+    classed = t.lineitem.select("l_orderkey", "l_linenumber", bins.nitrogen_class(x).alias("class"))
+    return classed.withColumn("label", bins.relabel(F.col("class"), bins.NITROGEN_NAMES, bins.NITROGEN_LABELS))
 
 
 @query(
