@@ -74,5 +74,5 @@ def test_odd_rows_ties_and_clashing_names(session, odd_docs):
 
 def test_one_row_and_none(session, odd_docs):
     one, = parsing.compare_with_next(odd_docs.where("doc_id = 5")).collect()
-    assert (one.near_next, one.n_chars) == (1.0, 10)
+    assert (one.near_next, one.n_chars) == (1.0, 6)
     assert parsing.compare_with_next(odd_docs.limit(0)).collect() == []
