@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 # Threaded BLAS can stall next to a JVM; the dense checks here are small.
 os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
@@ -22,6 +23,7 @@ def spark():
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
