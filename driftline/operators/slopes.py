@@ -32,6 +32,7 @@ class SlopesFit:
     criterion: float
     n: int
     converged: bool
+    reduced: tuple
 
     @property
     def terms(self) -> list[str]:
@@ -42,8 +43,8 @@ class SlopesFit:
         return np.sqrt(np.diag(self.cov))
 
 
-def _batch_sums(pdf: pd.DataFrame, p: int, scale: np.ndarray, where: list[int], d: np.ndarray) -> np.ndarray:
-    """Sums over the animals of one Arrow batch, all animals at once."""
+def _animals(pdf: pd.DataFrame, p: int, scale: np.ndarray, where: list[int], d: np.ndarray) -> tuple:
+    """Scaled cross-products of the animals of one Arrow batch and what shrinks them."""
     full = np.empty((len(pdf), p + 1, p + 1))
     full[:, 0, 0] = pdf["_n"]
     for i in range(p):
@@ -53,7 +54,12 @@ def _batch_sums(pdf: pd.DataFrame, p: int, scale: np.ndarray, where: list[int],
     zx = full[:, where, :]
     inner = np.eye(len(where)) + zx[:, :, where] @ d
     a = d @ np.linalg.inv(inner)
-    h = a @ zx
+    return full, inner, a, zx, a @ zx
+
+
+def _batch_sums(pdf: pd.DataFrame, p: int, scale: np.ndarray, where: list[int], d: np.ndarray) -> np.ndarray:
+    """Sums over the animals of one Arrow batch, all animals at once."""
+    full, inner, a, zx, h = _animals(pdf, p, scale, where, d)
     reduced = full - np.swapaxes(zx, 1, 2) @ h
     flat = h.reshape(len(pdf), -1)
     outer = np.einsum("bi,bj->ij", flat, flat)
@@ -167,4 +173,26 @@ def random_slopes_fit(
         current.criterion,
         m.n,
         converged,
+        (gram, p, scale, where, d, current.beta, scale[-1] * group_back),
     )
+
+
+def slope_effects(fit: SlopesFit) -> DataFrame:
+    """Best linear unbiased prediction of each animal's shift of intercept and slopes.
+
+    One row per animal: the key, ``n`` and a column for every random term, to be
+    added to the fixed coefficient of that name.
+    """
+    gram, p, scale, where, d, beta, back = fit.reduced
+    key, terms = fit.key, [INTERCEPT, *fit.slopes]
+    key_type = gram.schema[key].dataType.simpleString()
+    schema = ", ".join([f"`{key}` {key_type}", "n long", *[f"`{t}` double" for t in terms]])
+
+    def shifts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                h = _animals(pdf, p, scale, where, d)[-1]
+                own = h @ np.append(-beta, 1.0) @ back.T
+                yield pd.DataFrame({key: pdf[key], "n": pdf["_n"], **dict(zip(terms, own.T))})
+
+    return gram.mapInPandas(shifts, schema)

@@ -24,7 +24,7 @@ from driftline.operators.mixed import (
     group_effects,
     random_intercept_fit,
 )
-from driftline.operators.slopes import random_slopes_fit
+from driftline.operators.slopes import random_slopes_fit, slope_effects
 
 RNG = np.random.default_rng(17)
 N, GROUPS = 240, 12
@@ -248,6 +248,12 @@ def test_random_slopes_match_dense_criterion(spark):
     best, beta, cov = dense(fit.group_cov, fit.sigma2)
     assert fit.coef == pytest.approx(beta, rel=1e-5)
     assert fit.std_error == pytest.approx(np.sqrt(np.diag(cov)), rel=1e-5)
+    shifts = {r.k: (r.n, r["(Intercept)"], r.x) for r in slope_effects(fit).collect()}
+    for k in set(key):
+        mine = key == k
+        v = fit.sigma2 * np.eye(mine.sum()) + z[mine] @ fit.group_cov @ z[mine].T
+        wanted = fit.group_cov @ z[mine].T @ np.linalg.solve(v, y[mine] - design[mine] @ fit.coef)
+        assert shifts[f"g{k}"] == pytest.approx((mine.sum(), *wanted), rel=1e-4, abs=1e-4)
     root = np.linalg.cholesky(fit.group_cov)
     for i, j in ((0, 0), (1, 0), (1, 1)):
         for step in (-0.02, 0.02):
