@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from driftline.llm.common import written
 
 
+# A star step never adds edges, so the known count sizes the files of the next round.
+EDGES_PER_FILE = 500_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -46,7 +50,8 @@ def smallest_reachable(edges: DataFrame, u: str, v: str) -> DataFrame:
     )
     state = _state(current)
     while state[0]:
-        current = written(_small_star(_large_star(current)), "edges")
+        files = 1 + state[0] // EDGES_PER_FILE
+        current = written(_small_star(_large_star(current)).coalesce(files), "edges")
         before, state = state, _state(current)
         if before == state:
             break
