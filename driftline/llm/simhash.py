@@ -122,20 +122,27 @@ def print_components(prints: DataFrame) -> DataFrame:
     return smallest_reachable(links(pivot_table(prints)), "u", "v").select(F.col("node").alias("print"), "root")
 
 
+def _least_of_component(prints: DataFrame, value: str) -> DataFrame:
+    """``_print`` and ``_least``: for each fingerprint, the least ``value`` in its component.
+
+    Rows of one fingerprint are first reduced to one, with map-side combination.
+    """
+    own = prints.groupBy("fingerprint").agg(F.min(value).alias("_own"))
+    roots = print_components(prints)
+    named = own.join(roots, own["fingerprint"] == roots["print"], "left").select(
+        "fingerprint", "_own", F.coalesce("root", "fingerprint").alias("_root"))
+    least = named.groupBy("_root").agg(F.min("_own").alias("_least"))
+    return written(named.join(least, "_root").select(F.col("fingerprint").alias("_print"), "_least"), "components")
+
+
 def with_components(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     """Add ``component_id`` to rows of ``key`` and ``fingerprint``: the smallest key reachable.
 
     Repeated rows and texts share a component; NULL keys are members but never
     name one (a component of NULL keys alone has a NULL id).  No rows give none.
     """
-    least = prints.groupBy("fingerprint").agg(F.min(key).alias("_least"))
-    roots = print_components(prints)
-    named = least.join(roots, least["fingerprint"] == roots["print"], "left").select(
-        "fingerprint", "_least", F.coalesce("root", "fingerprint").alias("_root"))
-    ids = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    by_print = written(
-        named.join(ids, "_root").select(F.col("fingerprint").alias("_print"), "component_id"), "components")
-    return prints.join(by_print, prints["fingerprint"] == by_print["_print"]).drop("_print")
+    named = _least_of_component(prints, key).withColumnRenamed("_least", "component_id")
+    return prints.join(named, prints["fingerprint"] == named["_print"]).drop("_print")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,10 +160,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text_col: str = "text") ->
     stored = written(
         docs.withColumns({"_row": F.monotonically_increasing_id(), "_print": fingerprints(F.col(text_col))}), "tagged")
     rows = stored.select("_row", F.col("_print").alias("fingerprint"),
-                         F.struct(F.col(key).isNull(), F.col(key), F.col("_row")).alias("_rank"))
-    roots = print_components(rows)
-    named = rows.join(roots, rows["fingerprint"] == roots["print"], "left").select(
-        "_row", "_rank", F.coalesce("root", "fingerprint").alias("_root"))
-    first = named.groupBy("_root").agg(F.min("_rank").alias("_first"))
-    losers = named.join(first, "_root").where(F.col("_row") != F.col("_first._row")).select("_row")
+                         F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("key"), "_row").alias("_rank"))
+    first = _least_of_component(rows, "_rank")
+    losers = rows.join(first, rows["fingerprint"] == first["_print"]).where(
+        F.col("_row") != F.col("_least._row")).select("_row")
     return stored.join(losers, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
