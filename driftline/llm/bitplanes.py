@@ -13,9 +13,11 @@ documents in the block), which can be read without the planes, and ``planes``.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,7 +51,10 @@ _BLOCK_ARROW = pa.schema([
 
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    return np.asarray(ids, dtype="<u4").tobytes() if len(ids) > 1 else array("I", ids).tobytes()
+    values = array("I", ids)
+    if sys.byteorder == "big":
+        values.byteswap()
+    return values.tobytes()
 
 
 def to_planes(data: bytes | memoryview, compressor: zstandard.ZstdCompressor) -> list[bytes]:
@@ -65,11 +70,18 @@ def from_planes(planes: list[bytes], n_ids: int, decompressor: zstandard.ZstdDec
     return columns.tobytes()
 
 
+@lru_cache(maxsize=1)
+def _worker_encoder(tokenizer: str) -> PieceEncoder:
+    """One encoder for all tasks of a worker, so its caches stay warm."""
+    return PieceEncoder(tokenizer, packed, b"".join)
+
+
 class _Shard:
     """The id stream of one partition, cut into blocks as it grows."""
 
-    def __init__(self, number: int):
-        self.number, self.block, self.first, self.total = number, 0, 0, 0
+    def __init__(self, number: int, block_ids: int):
+        self.number, self.block_ids = number, block_ids
+        self.block, self.first, self.total = 0, 0, 0
         self.buffer, self.docs = bytearray(), []
         self.compressor = zstandard.ZstdCompressor(level=LEVEL)
 
@@ -80,8 +92,8 @@ class _Shard:
         self.buffer += ids
 
     def blocks(self, last: bool = False) -> Iterator[dict]:
-        while len(self.buffer) >= 4 * BLOCK_IDS or last and self.buffer:
-            n = min(BLOCK_IDS, len(self.buffer) // 4)
+        while len(self.buffer) >= 4 * self.block_ids or last and self.buffer:
+            n = min(self.block_ids, len(self.buffer) // 4)
             until = self.first + n
             inside = [d for d in self.docs if d[1] < until]
             begins = [max(start, self.first) for _, start, _ in inside]
@@ -101,7 +113,7 @@ class _Shard:
 
 def write_ids(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, key: str = "doc_id", text_col: str = "text",
-    shards: int | None = None,
+    shards: int | None = None, block_ids: int = BLOCK_IDS,
 ) -> None:
     """Encode every text, append ``end_id`` to each and write the blocks to ``path``.
 
@@ -120,8 +132,8 @@ def write_ids(
     end = packed([end_id])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, packed, b"".join)
-        shard = _Shard(TaskContext.get().partitionId())
+        encoder = _worker_encoder(tokenizer)
+        shard = _Shard(TaskContext.get().partitionId(), block_ids)
         for batch in batches:
             for doc_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard.add(doc_key, encoder.text(text) + end)

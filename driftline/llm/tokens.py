@@ -29,13 +29,14 @@ from driftline.llm.common import text_bytes
 
 TABLE_ENTRIES = 32_768
 SAMPLE_ROWS = 20_000
-CHUNK_ENTRIES = 300_000
-PIECE_ENTRIES = 200_000
+CHUNK_ENTRIES = 250_000
+PIECE_ENTRIES = 100_000
 
 # The byte-level split rule, in terms of Python's classes; equal to the
 # library's on the characters of PLAIN, the only ones it is used for.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ–—‘’“”…«»¡¿€]")
+STOPS = (".", ",", ";", ":", "!", "?")
 SPACE_PAIRS = ("  ", " \n", " \t", " \r")
 
 
@@ -51,17 +52,23 @@ BYTE_LETTERS = _byte_letters()
 
 
 class Kept(dict):
-    """A bounded cache that computes what it does not hold and starts anew when full."""
+    """A bounded cache that computes what it does not hold.
 
-    def __init__(self, make: Callable, limit: int, base: dict | None = None):
-        super().__init__(base or {})
-        self.make, self.limit, self.base = make, limit + len(base or {}), base or {}
+    It has two generations: when the young one (the dictionary itself) is full it
+    becomes the old one, and what is still asked for comes back from there.
+    """
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-            self.update(self.base)
         self[key] = value
         return value
 
@@ -92,19 +99,31 @@ class PieceEncoder:
         self.special = {t["content"]: t["id"] for t in added}
         self.marks = re.compile("(%s)" % "|".join(
             re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if added else None
-        self.pieces = Kept(self._piece, PIECE_ENTRIES, frequent)
-        self.chunks = Kept(self._chunk, CHUNK_ENTRIES)
+        self.frequent, self.model = frequent or {}, self.tokenizer.model
+        self.pieces = Kept(self._piece, PIECE_ENTRIES)
+        self.spaced = Kept(self._after_space, CHUNK_ENTRIES)
         self.mapped = Kept(self._mapped, PIECE_ENTRIES)
 
     def _mapped(self, letters: str):
-        return self.measure([t.id for t in self.tokenizer.model.tokenize(letters)])
+        return self.measure([t.id for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str):
+        known = self.frequent.get(piece)
+        if known is not None:
+            return known
         return self._mapped(piece.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS))
 
     def _chunk(self, chunk: str):
         return self.join(map(self.pieces.__getitem__, PIECE.findall(chunk)))
 
+    def _after_space(self, word: str):
+        """What a space and a stretch without spaces come to; plain words need no pattern."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[-1:] in STOPS and word[:-1].isalpha():
+            return self.join((self.spaced[word[:-1]], self.pieces[word[-1]]))
+        return self._chunk(" " + word)
+
     def _span(self, text: str):
         """The value of a text without special strings."""
         if NOT_PLAIN.search(text):
@@ -113,9 +132,8 @@ class PieceEncoder:
         if text.endswith(" ") or any(pair in text for pair in SPACE_PAIRS):
             return self._chunk(text)
         first, *rest = text.split(" ")
-        chunk = self.chunks.__getitem__
-        parts = map(chunk, map(" ".__add__, rest))
-        return self.join((chunk(first), *parts)) if first else self.join(parts)
+        parts = map(self.spaced.__getitem__, rest)
+        return self.join((self._chunk(first), *parts)) if first else self.join(parts)
 
     def text(self, text: str | None):
         if not text:
