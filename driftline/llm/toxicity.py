@@ -12,8 +12,8 @@ toxic passages.  What they hold together gives the score of the text, calibrated
 on the labelled texts.
 
 Labelled rows are a sample of about ``MAX_LABELS`` at most, chosen by a hash;
-the prior counts all documents.  The model holds ``MAX_FEATURES`` features at
-most and is broadcast.
+the prior counts all documents.  Every feature of the labelled texts is counted
+and tested; only the significant ones are broadcast, which the sample bounds.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from driftline.llm.common import alnum_words
 from driftline.llm.tokens import Kept
 
 MAX_LABELS = 200_000
-MAX_FEATURES = 50_000
 MIN_DOCS = 3
 PREFIXES = (4, 5, 6)
 PRIOR = 10.0  # documents the corpus-shaped part of the prior counts for
@@ -136,22 +135,44 @@ def held_out(key: Column) -> Column:
 
 
 def _candidates(rows: DataFrame) -> list[bytes]:
-    """The features in at least ``MIN_DOCS`` toxic texts, the commonest first."""
+    """The features in at least ``MIN_DOCS`` toxic texts whose deviance is significant."""
+    labelled = rows.where(F.col("_label").isNotNull())
+    texts = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}
+    if not texts.get(1):
+        return []
+
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = Counter()
-            for text in batch["_text"]:
-                counts.update({f for w in set(alnum_words(text)) for f in features(w)})
-            yield pd.DataFrame({
-                "feature": pd.Series(list(counts), dtype=object),
-                "docs": pd.Series(list(counts.values()), dtype="int64")})
+        of_word = Kept(features, KNOWN_WORDS)
 
-    toxic = rows.where(F.col("_label") == 1).select("_text")
-    kept = (
-        toxic.mapInPandas(seen, "feature binary, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
-        .where(F.col("docs") >= MIN_DOCS).orderBy(F.desc("docs"), "feature").limit(MAX_FEATURES)
+        def made(counts: tuple[Counter, Counter]) -> pd.DataFrame:
+            held = list(counts[0].keys() | counts[1].keys())
+            return pd.DataFrame({
+                "feature": pd.Series(held, dtype=object),
+                "clean": np.array([counts[0][f] for f in held], dtype=np.int64),
+                "toxic": np.array([counts[1][f] for f in held], dtype=np.int64)})
+
+        counts = Counter(), Counter()
+        for batch in batches:
+            for label, text in zip(batch["_label"].astype(int), batch["_text"], strict=True):
+                counts[label].update({f for own in map(of_word.__getitem__, set(alnum_words(text))) for f in own})
+            if len(counts[0]) + len(counts[1]) > KNOWN_WORDS:
+                yield made(counts)
+                counts = Counter(), Counter()
+        yield made(counts)
+
+    counted = (
+        labelled.select("_text", "_label").mapInPandas(seen, "feature binary, clean long, toxic long")
+        .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .where(F.col("toxic") >= MIN_DOCS)
     )
-    return [bytes(r.feature) for r in kept.collect()]
+    toxic, both, share = F.col("toxic"), F.col("toxic") + F.col("clean"), texts[1] / sum(texts.values())
+    part = lambda held, wanted: F.when(held > 0, held * F.log(held / wanted)).otherwise(0.0)
+    size = 2 * part(toxic, both * share)
+    if share < 1:
+        size = size + 2 * part(F.col("clean"), both * (1 - share))
+    # With some room for rounding; train() decides.
+    kept = counted.where((toxic > both * share) & (size > SIGNIFICANT**2 - 1e-6)).select("feature")
+    return sorted(bytes(r.feature) for r in kept.collect())
 
 
 def _counted(rows: DataFrame, wanted: list[bytes]) -> tuple[np.ndarray, np.ndarray, float]:

@@ -76,6 +76,16 @@ def test_held_out_labels_are_not_read(session, labelled):
     assert one == two
 
 
+def test_many_common_words_crowd_out_no_rarer_one(session):
+    draw = random.Random(2)
+    plain = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(20_000)]
+    every = " ".join(plain)  # about 70,000 features in each text
+    docs = session.createDataFrame(
+        [(i, every + " vile" * (i < 30 and i % 5 < 2)) for i in range(120)], "doc_id long, text string")
+    labels = session.createDataFrame([(i, 0, int(i < 30)) for i in range(120)], "doc_id long, quality int, toxic int")
+    assert set(toxicity.train(docs, labels).weights) == {b"vile", b"^vile"}
+
+
 def test_odd_texts_repeated_and_missing_labels(session, labelled, odd_docs):
     docs, labels = labelled
     model = toxicity.train(docs.unionByName(odd_docs.selectExpr("doc_id + 5000 AS doc_id", "text", "0.0D AS score")),
