@@ -18,11 +18,8 @@ WHISKER_IQR = 1.5
 
 
 def daily_position(df: DataFrame, key: str, day: str, columns: dict[str, str]) -> DataFrame:
-    """Exact median of each axis per animal and day; ``columns`` maps source to output.
-
-    A day holds a bounded number of fixes, so the values of a group fit in memory.
-    """
-    return df.groupBy(key, day).agg(*[F.percentile(c, F.lit(0.5)).alias(name) for c, name in columns.items()])
+    """Exact median of each axis per animal and day, of any size; ``columns`` maps source to output."""
+    return group_quantiles(df, [key, day], {name: (c, 0.5) for c, name in columns.items()})
 
 
 def daily_mean(df: DataFrame, key: str, day: str, column: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators.aggregates import (
+    daily_position,
     bounding_box,
     box_stats,
     fixed_histogram,
@@ -303,3 +304,10 @@ def test_grid_and_reshape(spark):
     assert grid.count() == 8
     wide = spark.createDataFrame([(1, 2.0, 3.0)], "id int, d1 double, d2 double")
     assert {(r.draw, r.v) for r in draws_to_long(wide, ["id"], ["d1", "d2"], "v").collect()} == {("d1", 2.0), ("d2", 3.0)}
+
+
+def test_daily_position_holds_no_group_in_one_buffer(spark):
+    df = spark.range(1001).selectExpr("'a' AS k", "DATE'2020-01-01' AS d", "IF(id < 1000, id, NULL) AS x", "-id AS y")
+    made = daily_position(df, "k", "d", {"x": "mx", "y": "my"})
+    assert "percentile" not in made._jdf.queryExecution().toString().lower()
+    assert [(r.mx, r.my) for r in made.collect()] == [(499.5, -500.0)]
