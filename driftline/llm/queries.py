@@ -11,10 +11,13 @@ from driftline.llm import (
     balancing,
     bitplanes,
     chat,
+    exact,
     licenses,
     parsing,
     ranges,
+    ranking,
     simhash,
+    spelling,
     suffixes,
     tokens,
     toxicity,
@@ -186,6 +189,101 @@ def op10(spark, sf_dir):
         F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+EXACT_SQL = """
+WITH hashed AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+     placed AS (
+  SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) AS place,
+         max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+         count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM hashed)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM placed"""
+
+
+@corpus_query("op11_progressive_refinement", EXACT_SQL)
+def op11(spark, sf_dir):
+    return exact.exact_groups(table(spark, sf_dir, "documents"), digest=True)
+
+
+WORDS_SQL = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+)
+RANKING_SQL = f"""
+WITH split AS (SELECT row_number() OVER () AS place, doc_id, {WORDS_SQL} AS w FROM documents),
+item_terms AS (
+  SELECT DISTINCT place, item_id, unnest({WORDS_SQL}) AS term
+  FROM (SELECT row_number() OVER () AS place, * FROM benchmark)),
+sizes AS (SELECT place, doc_id, len(w)::bigint AS n FROM split WHERE len(w) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::bigint AS words FROM sizes),
+tf AS (SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(w) AS term FROM split)
+       WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w
+  FROM tf, totals GROUP BY term, docs),
+impacts AS (
+  SELECT tf.place, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS part
+  FROM tf JOIN sizes USING (place) JOIN weights USING (term), totals),
+scores AS (
+  SELECT i.place AS item, item_id, d.place, doc_id, sum(part)::bigint AS score
+  FROM item_terms i JOIN impacts d USING (term) GROUP BY ALL HAVING sum(part) > 0),
+ranks AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::int AS rank FROM scores)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= {ranking.TOP}"""
+
+
+@corpus_query("op12_blocked_products", RANKING_SQL)
+def op12(spark, sf_dir):
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 byte by byte; its table follows from the polynomial.
+SPELLING_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT i::bigint AS b, i::bigint AS v, 0 AS step FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, times, xor(list_reduce(
+           list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(doc_id || ':' || run)) + 1),
+             lambda i: ('0x' || substr(hex(doc_id || ':' || run), 2 * i - 1, 2))::bigint)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, crc),
+words AS (
+  SELECT word, sum(times)::bigint AS n
+  FROM (SELECT times, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+                           ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cut AS (
+  SELECT word, n, length(word) AS size, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM words, unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.size = b.size
+  WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top, arg_min(other, (-other_n, encode(other))) AS near FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * w.n THEN near END AS form,
+         CASE WHEN top >= 2 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS root, form AS next, 0 AS depth FROM forms
+  UNION ALL SELECT c.word, f.word, f.form, depth + 1 FROM chain c JOIN forms f ON c.next = f.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)"""
+
+
+@corpus_query("op13_reduced_alphabets", SPELLING_SQL)
+def op13(spark, sf_dir):
+    found = spelling.runs(table(spark, sf_dir, "documents"))
+    words = found.select(spelling.misspelt(F.col("run"), F.col("key")).alias("word"))
+    return spelling.variants(spelling.vocabulary(words))
+
+
 @corpus_query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
