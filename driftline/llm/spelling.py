@@ -6,6 +6,9 @@ of every reduced word (itself, all deletions, insertions and replacements over t
 few symbols) is joined to the reduced vocabulary, and the pairs that meet are
 verified on the original words.  No pair is lost and none is made twice.
 
+A bitmap of the reduced vocabulary, of bounded size and broadcast, drops neighbours that
+are no reduced word before they are shuffled; a full bitmap only lets more through.
+
 Reduced words travel as 64-bit hashes, a sum over places of symbol code times an
 odd power, from which the hash of every neighbour follows by a few additions; two
 reduced words with one hash only cost a verification.  The number of symbols grows
@@ -33,10 +36,13 @@ LEAST_COUNT = 3
 RATIO = 2
 FEWEST_SYMBOLS, MOST_SYMBOLS = 4, 16
 TYPO_STEP = 97
-_CHUNK = 1 << 16  # neighbours in one output row
+# Bits of the bitmap of reduced words: a multiple of their number, within limits.
+BITS_A_WORD = 16
+FEWEST_BITS, MOST_BITS = 12, 27
+_CHUNK = 1 << 18  # neighbours made at once, unless one word has more
 # Hashes are sums modulo 2^64; an odd base has an inverse there.
 _ODD = xxhash.xxh64_intdigest(b"base") | 1
-_BASE, _BACK = np.array([_ODD, pow(_ODD, -1, 1 << 64)], dtype=np.uint64).reshape(2, 1)
+_BASE, _BACK = np.array([[_ODD], [pow(_ODD, -1, 1 << 64)]], dtype=np.uint64)
 _SPREAD = np.array([xxhash.xxh64_intdigest(b"letter") | 1], dtype=np.uint64)
 _NONE = np.zeros(1, dtype=np.uint64)
 
@@ -73,66 +79,94 @@ def symbols_for(words: int) -> int:
     return min(MOST_SYMBOLS, max(FEWEST_SYMBOLS, math.ceil(max(words, 1) ** (1 / 6))))
 
 
-def reduced(word: str, symbols: int) -> np.ndarray:
-    """The symbol of every code point: a hash of it, so any alphabet will do."""
-    points = np.frombuffer(word.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    return (points * _SPREAD >> np.uint64(32)) % np.uint64(symbols)
+def _by_length(words: list[str], symbols: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of one length at a time: their places and the symbols of their letters, a row a word.
+
+    A letter's symbol is a hash of its code point, so any alphabet will do.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    letters = ((points * _SPREAD >> np.uint64(32)) % np.uint64(symbols)).astype(np.int64)
+    for size in np.unique(sizes):
+        places = np.flatnonzero(sizes == size)
+        step = max(1, _CHUNK // (2 * symbols * (int(size) + 1)))
+        for first in range(0, len(places), step):
+            some = places[first : first + step]
+            yield some, letters[starts[some][:, None] + np.arange(size)]
 
 
 def _powers(size: int) -> np.ndarray:
     return np.cumprod(np.concatenate((_NONE + np.uint64(1), np.repeat(_BASE, size))), dtype=np.uint64)
 
 
-def reduced_hash(word: str, symbols: int) -> np.uint64:
-    own = reduced(word, symbols).astype(np.int64)
-    return np.sum(CODES[own] * _powers(len(own))[: len(own)], dtype=np.uint64)
+def reduced_hashes(words: list[str], symbols: int) -> np.ndarray:
+    out = np.zeros(len(words), dtype=np.uint64)
+    for places, own in _by_length(words, symbols):
+        out[places] = np.sum(CODES[own] * _powers(own.shape[1])[:-1], axis=1, dtype=np.uint64)
+    return out
 
 
-def neighbourhood(word: str, symbols: int) -> np.ndarray:
-    """The distinct hashes of the reduced word, first, and of all its one-edit neighbours.
+def neighbourhoods(own: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of reduced words of one length, first, and all their one-edit neighbours, a row a word.
 
-    Equal results of different edits are made once: of a run of one symbol only the
-    first is deleted, and no symbol is inserted before itself.
+    The mask that follows holds each distinct result once: of a run of one symbol only
+    the first is deleted, and no symbol is put before, or in place of, itself.
+    """
+    words, size = own.shape
+    power = _powers(size + 1)
+    before = np.zeros((words, size + 1), dtype=np.uint64)
+    np.cumsum(CODES[own] * power[:size], axis=1, out=before[:, 1:])
+    whole, after = before[:, -1:], before[:, -1:] - before
+    deleted = before[:, :-1] + after[:, 1:] * _BACK
+    first = np.ones(own.shape, bool)
+    first[:, 1:] = own[:, 1:] != own[:, :-1]
+    codes = CODES[:symbols]
+    inserted = (before + after * _BASE)[:, :, None] + codes * power[: size + 1, None]
+    replaced = whole[:, :, None] + (codes - CODES[own][:, :, None]) * power[:size, None]
+    fresh = own[:, :, None] != np.arange(symbols)
+    hashes = np.hstack((whole, deleted, inserted.reshape(words, -1), replaced.reshape(words, -1)))
+    fresh = fresh.reshape(words, -1)
+    once = np.ones((words, 1), bool)
+    return hashes, np.hstack((once, first, fresh, np.ones((words, symbols), bool), fresh))
+
+
+def _places(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of a bitmap of 2^``size`` bits that stand for each hash: its top bits."""
+    top = hashes >> np.uint64(64 - size)
+    return (top >> np.uint64(6)).astype(np.int64), top & np.uint64(63)
+
+
+def bitmap(hashed: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of all hashes in the column ``own``; its 2^(``size`` - 6) words come to the driver."""
+    top = F.shiftrightunsigned("own", 64 - size)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(top, F.lit(64)).cast("int"))
+    held = hashed.groupBy(F.shiftright(top, 6).alias("place")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(1 << (size - 6), dtype=np.uint64)
+    out[held["place"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def neighbours(words: DataFrame, symbols: int, held=None) -> DataFrame:
+    """``word``, ``n`` and ``meet``: a row for every hash of the word's neighbourhood.
+
+    With a broadcast bitmap ``held``, neighbours that are no reduced word are left out.
     """
-    own = reduced(word, symbols).astype(np.int64)
-    power, size = _powers(len(own) + 1), len(own)
-    before = np.concatenate((_NONE, np.cumsum(CODES[own] * power[:size], dtype=np.uint64)))
-    whole, after = before[-1:], before[-1] - before
-    deleted = (before[:-1] + after[1:] * _BACK)[np.diff(own, prepend=-1) != 0]
-    at, new = np.divmod(np.arange((size + 1) * symbols), symbols)
-    fresh = np.append(own, -1)[at] != new
-    at, new = at[fresh], new[fresh]
-    inserted = before[at] + CODES[new] * power[at] + after[at] * _BASE
-    inside = at < size
-    replaced = whole + (CODES[new[inside]] - CODES[own[at[inside]]]) * power[at[inside]]
-    return np.concatenate((whole, deleted, inserted, replaced))
-
-
-def neighbours(words: DataFrame, symbols: int) -> DataFrame:
-    """``word``, ``n`` and ``near``: the neighbour hashes; a word with very many takes several rows."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if held is None else held.value
+        size = 0 if bits is None else len(bits).bit_length() + 5
         for batch in batches:
-            rows, held = [], 0
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                near = neighbourhood(word, symbols).view(np.int64)
-                for start in range(0, len(near), _CHUNK):
-                    rows.append((word, n, near[start : start + _CHUNK]))
-                    held += len(rows[-1][2])
-                    if held >= _CHUNK:
-                        yield _batch(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _batch(rows)
+            for places, own in _by_length(batch.column(0).to_pylist(), symbols):
+                hashes, wanted = neighbourhoods(own, symbols)
+                if bits is not None:
+                    place, bit = _places(hashes, size)
+                    wanted &= (bits[place] >> bit) & np.uint64(1) > 0
+                at = pa.array(places[np.nonzero(wanted)[0]])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes[wanted].view(np.int64))],
+                    names=["word", "n", "meet"])
 
-    return words.select("word", "n").mapInArrow(made, "word string, n long, near array<long>")
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    offsets = np.cumsum([0] + [len(r[2]) for r in rows])
-    return pa.RecordBatch.from_arrays([
-        pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
-        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([r[2] for r in rows]), pa.int64())),
-    ], names=["word", "n", "near"])
+    return words.select("word", "n").mapInArrow(made, "word string, n long, meet long")
 
 
 def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
@@ -141,15 +175,19 @@ def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
     ``words`` holds distinct ``word`` with ``n``; NULL words have no pairs.
     """
     chosen = words.where(F.col("word").isNotNull())
-    many = symbols or symbols_for(chosen.count())
+    count = chosen.count()
+    many = symbols or symbols_for(count)
 
     @F.pandas_udf("long")
     def own_hash(batch: pd.Series) -> pd.Series:
-        return pd.Series([int(reduced_hash(w, many).view(np.int64)) for w in batch], dtype="int64")
-
-    mine = neighbours(chosen, many).select("word", "n", F.explode("near").alias("meet"))
-    theirs = chosen.select(
-        own_hash("word").alias("meet"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+        return pd.Series(reduced_hashes(batch.to_list(), many).view(np.int64))
+
+    hashed = written(chosen.select("word", "n", own_hash("word").alias("own")), "reduced")
+    size = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(BITS_A_WORD * max(count, 1)))))
+    held = words.sparkSession.sparkContext.broadcast(bitmap(hashed, size))  # 2^MOST_BITS bits at most
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = neighbours(hashed.repartition(parts), many, held)
+    theirs = hashed.select(F.col("own").alias("meet"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     return mine.join(theirs, "meet").where(
         (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).drop("meet")
 
