@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import SPACE_WORD, written
+from driftline.llm.common import SPACE_WORD, hidden, shown, written
 
 CAP = 2
 SHARE = 1.5
@@ -130,13 +130,23 @@ def with_copies(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text_col: str = "text",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP,
 ) -> DataFrame:
-    """Add ``_size``, ``_source_size``, ``_target`` and ``_copies`` to every row.
+    """Add ``size``, ``source_size``, ``target`` and ``copies`` to every row (columns so named are replaced).
 
     Size is the number of words between white space (NULL texts: 0).  Sources in
     code-point order, NULL last and a source of its own, take the weights in turn.
     Documents without words are kept once.  Repeated rows are documents of their
     own.  An empty table gives an empty table.
     """
+    found = _with_copies(docs, key, source, text_col, weights, share, cap)
+    made = {"size": "_size", "source_size": "_source_size", "target": "_target", "copies": "_copies"}
+    own = [c for c, name in zip(shown(docs), docs.columns, strict=True) if name not in made]
+    return found.select(*own, *[F.col(inner).alias(name) for name, inner in made.items()])
+
+
+def _with_copies(
+    docs: DataFrame, key: str, source: str, text_col: str, weights: tuple[float, ...], share: float, cap: int,
+) -> DataFrame:
+    """The columns of ``docs`` under private names, ``_size``, ``_source_size``, ``_target`` and ``_copies``."""
     spark = docs.sparkSession
     made = {"_size": word_count(F.col(text_col)), "_tie": F.xxhash64(F.col(key), F.col(text_col))}
     rows = written(docs.select(F.col(source).cast("string").alias("_source"), *[c.alias(n) for n, c in made.items()]), "sizes")
@@ -170,7 +180,8 @@ def with_copies(
 
     inside = Window.partitionBy("_s", "_size").orderBy("_bucket")
     upto = F.sum("_count").over(inside)
-    dealt = lambda n: F.floor(F.col("_copies") * n / F.col("_all"))
+    # Products of two row counts can pass 64 bits.
+    dealt = lambda n: F.call_function("div", F.col("_copies").cast("decimal(38,0)") * n, F.col("_all"))
     quotas = written(
         cells.withColumn("_upto", upto).join(copies, ["_s", "_size"])
         .withColumn("_quota", dealt(F.col("_upto")) - dealt(F.col("_upto") - F.col("_count")))
@@ -178,20 +189,21 @@ def with_copies(
                 (F.col("_quota") % F.col("_count")).alias("_extra")), "quotas")
 
     place = F.row_number().over(Window.partitionBy("_s", "_size", "_bucket").orderBy("_tie", "_place"))
-    own = [f"_own{i}" for i in range(len(docs.columns))]
     wide = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)],
+        *hidden(docs),
         F.col(source).cast("string").alias("_source"), *[c.alias(n) for n, c in made.items()], F.col(key).alias("_place"))
     return (
         numbered(wide).withColumn("_bucket", bucket).join(quotas, ["_s", "_size", "_bucket"])
         .withColumn("_copies", F.col("_base") + (place <= F.col("_extra")).cast("long"))
-        .select(*[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)],
-                "_size", "_source_size", "_target", "_copies")
+        .select(*[f"_own{i}" for i in range(len(docs.columns))], "_size", "_source_size", "_target", "_copies")
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    repeated = with_copies(docs, **options).where(F.col("_copies") > 0)
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return repeated.withColumn("_again", again).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text_col: str = "text",
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP,
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns as they are, each as often as the mix takes it."""
+    found = _with_copies(docs, key, source, text_col, weights, share, cap).where(F.col("_copies") > 0)
+    repeated = found.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*shown(docs))

@@ -55,6 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hidden(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` under private numbered names, so that helper columns can stand beside them."""
+    return [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(df.columns)]
+
+
+def shown(df: DataFrame) -> list[Column]:
+    """The columns that ``hidden(df)`` made, under their own names again."""
+    return [F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns)]
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import written
+from driftline.llm.common import hidden, shown, written
 
 PREFIX_CHARS = 64
 WORDS = 1 << 20
@@ -120,10 +120,7 @@ def deduplicated(
     are, and the losers' are taken out of the stored rows.
     """
     text = normal(F.coalesce(F.col(text_col), F.lit("")))
-    own = [f"_own{i}" for i in range(len(docs.columns))]
-    carried = [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own, strict=True)]
-    stored = _refined(docs, text, [F.col(key).alias("_key"), *carried])
+    stored = _refined(docs, text, [F.col(key).alias("_key"), *hidden(docs)])
     decided = _decided(stored.select("_key", "_row", "_full"), "_key")
     losers = decided.where(F.col("_row") != F.col("_top")).select("_row")
-    return stored.join(losers, "_row", "left_anti").select(
-        *[F.col(n).alias(c) for c, n in zip(docs.columns, own, strict=True)])
+    return stored.join(losers, "_row", "left_anti").select(*shown(docs))

@@ -194,7 +194,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    one = F.coalesce(-F.col(key).cast("long"), F.lit((1 << 63) - 1))
+    one = F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1))
     two = F.xxhash64(F.coalesce(text, F.lit("")))
     keys = written(docs.select(one.alias("one"), two.alias("two"), (text_bytes(text) + 1).alias("size")), "keys")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

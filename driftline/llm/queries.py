@@ -185,8 +185,7 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     taken = balancing.with_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return taken.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 EXACT_SQL = """

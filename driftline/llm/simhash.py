@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from driftline.llm.common import space_words, written
+from driftline.llm.common import hidden, shown, space_words, written
 from driftline.llm.components import smallest_reachable
 
 SHINGLE_WORDS = 3
@@ -157,11 +157,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text_col: str = "text") ->
     NULL keys come last, and among repeated rows the first in the stored table
     stays.  All columns are returned as they are.
     """
-    stored = written(
-        docs.withColumns({"_row": F.monotonically_increasing_id(), "_print": fingerprints(F.col(text_col))}), "tagged")
+    stored = written(docs.select(
+        *hidden(docs), F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"),
+        fingerprints(F.col(text_col)).alias("_print")), "tagged")
     rows = stored.select("_row", F.col("_print").alias("fingerprint"),
-                         F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("key"), "_row").alias("_rank"))
+                         F.struct(F.col("_key").isNull().alias("missing"), F.col("_key").alias("key"), "_row").alias("_rank"))
     first = _least_of_component(rows, "_rank")
     losers = rows.join(first, rows["fingerprint"] == first["_print"]).where(
         F.col("_row") != F.col("_least._row")).select("_row")
-    return stored.join(losers, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored.join(losers, "_row", "left_anti").select(*shown(docs))

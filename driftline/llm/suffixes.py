@@ -23,13 +23,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StructField, StructType
 
-from driftline.llm.common import alnum_words, written
+from driftline.llm.common import alnum_words, hidden, shown, written
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
-FOUND = "n_words long, hits array<struct<start: int, words: int>>, items array<long>, longest int"
 
 
 @dataclass
@@ -194,8 +193,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(b, e - b) for b, e in merged]
 
 
-def _finder(text: Column, shared) -> Column:
-    @F.pandas_udf(FOUND)
+STRETCHES = ArrayType(StructType([StructField("start", IntegerType()), StructField("words", IntegerType())]))
+
+
+def _finder(text: Column, shared, kind: DataType) -> Column:
+    """The struct of what is found; item keys are of type ``kind``."""
+    @F.pandas_udf(StructType([
+        StructField("n_words", LongType()), StructField("hits", STRETCHES), StructField("items", ArrayType(kind)),
+        StructField("longest", IntegerType())]))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         items = shared.value
         for texts in batches:
@@ -210,9 +215,6 @@ def _finder(text: Column, shared) -> Column:
     return found(text)
 
 
-STRETCHES = ArrayType(StructType([StructField("start", IntegerType()), StructField("words", IntegerType())]))
-
-
 @F.pandas_udf(STRETCHES)
 def _union(hits: pd.Series) -> pd.Series:
     return pd.Series([
@@ -234,32 +236,35 @@ def with_matches(
     have no words and match nothing; repeated rows are found alike.
     """
     spark = docs.sparkSession
-    chosen = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
+    kind = items.schema[item_key].dataType
+    # Repeated items would be found alike; without them a block's size is even.
+    chosen = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")).distinct()
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     if blocks == 1:
         tests = TestItems.of([tuple(r) for r in chosen.collect()], window)
-        return docs.withColumn(name, _finder(F.col(text_col), spark.sparkContext.broadcast(tests)))
-    stored = written(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+        return docs.withColumn(name, _finder(F.col(text_col), spark.sparkContext.broadcast(tests), kind))
+    apart = docs.drop(name)
+    stored = written(apart.select(
+        *hidden(apart), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row")), "docs")
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     found = None
     for number in range(blocks):
         tests = TestItems.of([tuple(r) for r in chosen.where(block == number).collect()], window)
-        one = stored.select("_row", _finder(F.col(text_col), spark.sparkContext.broadcast(tests)).alias("f"))
+        one = stored.select("_row", _finder(F.col("_text"), spark.sparkContext.broadcast(tests), kind).alias("f"))
         one = written(one.where(F.size("f.hits") > 0), "found")
         found = one if found is None else found.union(one)
     merged = found.groupBy("_row").agg(
         _flat("f.hits").alias("hits"), F.array_sort(F.array_distinct(_flat("f.items"))).alias("items"),
         F.max("f.longest").alias("longest"))
-    none = _finder(F.col(text_col), spark.sparkContext.broadcast(TestItems.of([], window)))
+    none = _finder(F.col("_text"), spark.sparkContext.broadcast(TestItems.of([], window)), kind)
     return (
         stored.join(merged, "_row", "left")
-        .withColumn(name, F.struct(
+        .select(*shown(apart), F.struct(
             none["n_words"].alias("n_words"),
             F.coalesce(_union(F.coalesce("hits", F.array())), F.array()).alias("hits"),
-            F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
-            F.coalesce("longest", F.lit(0)).alias("longest")))
-        .select(*[F.col(f"`{c}`") for c in [*docs.columns, name]])
+            F.coalesce("items", F.array().cast(ArrayType(kind))).alias("items"),
+            F.coalesce("longest", F.lit(0)).alias("longest")).alias(name))
     )
 
 
@@ -273,5 +278,6 @@ def hit_words(found: Column) -> Column:
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, as they are."""
-    clean = with_matches(docs, items, window, text_col=text_col, name="_found").where(F.size("_found.hits") == 0)
-    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
+    apart = docs.select(*hidden(docs), F.col(text_col).alias("_text"))
+    clean = with_matches(apart, items, window, text_col="_text", name="_found").where(F.size("_found.hits") == 0)
+    return clean.select(*shown(docs))

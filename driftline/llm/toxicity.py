@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import alnum_words
+from driftline.llm.common import alnum_words, hidden, shown
 from driftline.llm.tokens import Kept
 
 MAX_LABELS = 200_000
@@ -321,5 +321,6 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "t
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` not predicted toxic, as they are."""
-    judged = scored(docs, train(docs, labels, key, text_col), text_col, "_toxicity")
-    return judged.where(F.col("_toxicity.predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = train(docs, labels, key, text_col)
+    judged = scored(docs.select(*hidden(docs), F.col(text_col).alias("_text")), model, "_text", "_toxicity")
+    return judged.where(F.col("_toxicity.predicted") == 0).select(*shown(docs))

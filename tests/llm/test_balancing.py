@@ -38,7 +38,7 @@ def test_query(session, data):
 
 
 def mixed_rows(docs):
-    return [(r.source, r["_size"], r["_target"], r["_copies"]) for r in balancing.with_copies(docs).collect()]
+    return [(r.source, r["size"], r["target"], r["copies"]) for r in balancing.with_copies(docs).collect()]
 
 
 def test_hot_source_of_equal_documents_and_a_null_source(session):

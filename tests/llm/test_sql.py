@@ -11,7 +11,7 @@ from driftline.llm.queries import ORACLE, QUERIES
 
 def test_entry_module_offers_them():
     assert QUERIES.items() <= entry_module.queries().items() and ORACLE.items() <= entry_module.oracle_sql().items()
-    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] and {f"op{i}" for i in range(1, 11)} == {
+    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] and {f"op{i}" for i in range(1, 14)} == {
         n.split("_")[0] for n in QUERIES if n != "pipeline"}
 
 
