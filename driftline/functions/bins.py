@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 # Class limits, names and legend labels.
 CARBON_LIMITS = (-19.0, -18.5, -18.0, -17.5, -17.0)
 CARBON_NAMES = ("Low", "Low-medium", "Medium", "Medium-high", "High")
-CARBON_LABELS = ("-19 to -18.5", "-18.5 to -18", "-18 to -17.5", "-17.5 to -17", "> -17")
+CARBON_LABELS = ("-19 to -18.5", "-18.4 to -18", "-17.9 to -17.5", "-17.4 to -17", "-16.9 to -16")
 NITROGEN_LIMITS = (11.0, 12.5, 14.0, 15.5)
 NITROGEN_NAMES = ("Low", "Medium", "Medium-high", "High")
-NITROGEN_LABELS = ("11 to 12.5", "12.5 to 14", "14 to 15.5", "> 15.5")
+NITROGEN_LABELS = ("11 to 12.4", "12.5 to 13.9", "14 to 15.4", "15.5 to 17.3")
 
 
 def bin_ordinal(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.filters import require
 from driftline.operators.linear import INTERCEPT, moments
+from driftline.operators.special import t_degrees_step, t_scale_step
 from driftline.session import settle
 
 
@@ -70,6 +71,7 @@ class RobustFit:
     coef: np.ndarray
     sigma: float
     nu: float
+    nu_bound: bool
     rounds: int
     converged: bool
     n: int
@@ -80,24 +82,28 @@ class RobustFit:
         return [INTERCEPT, *self.predictors]
 
 
-def _weighted_sums(rows: DataFrame, z: Sequence[Column], weight: Column) -> tuple:
+def _weighted_sums(rows: DataFrame, z: Sequence[Column], distance: Column, nu: float) -> tuple:
+    """Cross-products weighted by (nu + 1) / (nu + distance), and what a step in ``nu`` needs."""
     p = len(z)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    weighted = rows.select(weight.alias("_w"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
-    w = F.col("_w")
-    row = weighted.agg(
-        F.sum(w),
-        *[F.sum(w * F.col(f"_z{i}")) for i in range(p)],
-        *[F.sum(w * F.col(f"_z{i}") * F.col(f"_z{j}")) for i, j in pairs],
+    weighted = rows.select(distance.alias("_d"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
+    w, pull = F.lit(nu + 1) / (F.lit(nu) + F.col("_d")), F.col("_d") / (F.lit(nu) + F.col("_d"))
+    row = weighted.withColumns({"_w": w, "_p": pull}).agg(
+        F.sum("_w"),
+        *[F.sum(F.col("_w") * F.col(f"_z{i}")) for i in range(p)],
+        *[F.sum(F.col("_w") * F.col(f"_z{i}") * F.col(f"_z{j}")) for i, j in pairs],
+        F.sum(F.log1p(F.col("_d") / F.lit(nu))), F.sum("_p"), F.sum(F.col("_p") * F.col("_p")),
     ).first()
     gram = np.empty((p + 1, p + 1))
     gram[0, 0] = row[0]
     gram[0, 1:] = gram[1:, 0] = row[1 : p + 1]
     for (i, j), v in zip(pairs, row[p + 1 :]):
         gram[i + 1, j + 1] = gram[j + 1, i + 1] = v
-    return gram
+    return gram, tuple(row[-3:])
 
 
+START_NU = 4.0
+NU_RANGE = (0.1, 1e6)
 # Earlier rounds that a step of the acceleration looks at.
 MEMORY = 4
 
@@ -125,13 +131,14 @@ def robust_t_fit(
     df: DataFrame,
     response: str,
     predictors: Sequence[str],
-    nu: float = 4.0,
+    nu: float | None = 4.0,
     max_rounds: int = 40,
     tol: float = 1e-10,
 ) -> RobustFit:
-    """Maximum likelihood for Student t errors with ``nu`` fixed, by reweighting.
+    """Maximum likelihood for Student t errors by reweighting, ``nu`` fixed or (None) estimated.
 
-    Each round is one mergeable aggregate over the rows, which are settled once.
+    Degrees of freedom take a Newton step on their likelihood in every round, within
+    ``NU_RANGE``; ending on a limit of it is flagged.  Each round is one mergeable aggregate over the rows, which are settled once.
     Anderson acceleration mixes the last few rounds, so that about ten suffice.
     ``converged`` tells whether the tolerance was met within ``max_rounds``.
     """
@@ -146,6 +153,8 @@ def robust_t_fit(
     slopes = np.linalg.solve(sxx, sxy) * scale[:-1] / scale[-1]
     beta = np.concatenate([[0.0], slopes])
     sigma2 = float((syy - sxy @ np.linalg.solve(sxx, sxy)) / m.n / scale[-1] ** 2)
+    estimated, nu = nu is None, START_NU if nu is None else nu
+    low, high = map(math.log, NU_RANGE)
     converged, rounds = False, 0
     points: list[np.ndarray] = []
     moves: list[np.ndarray] = []
@@ -153,18 +162,23 @@ def robust_t_fit(
         residual = z[-1] - F.lit(float(beta[0]))
         for b, c in zip(beta[1:], z):
             residual = residual - F.lit(float(b)) * c
-        weight = F.lit(nu + 1) / (F.lit(nu) + residual * residual / F.lit(float(sigma2)))
-        gram = _weighted_sums(rows, z, weight)
+        gram, sums = _weighted_sums(rows, z, residual * residual / F.lit(float(sigma2)), nu)
         xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
         new = np.linalg.solve(xx, xy)
         # Dividing by the weight sum has the same fixed point and needs far fewer rounds.
         new_sigma2 = float((yy - xy @ new) / gram[0, 0])
-        points.append(np.append(beta, math.log(sigma2)))
-        moves.append(np.append(new, math.log(new_sigma2)) - points[-1])
+        points.append(np.append(beta, [math.log(sigma2), math.log(nu)]))
+        both = t_scale_step(nu, m.n, *sums) if estimated else None
+        if both is not None:
+            new_sigma2 = sigma2 * math.exp(both[0])
+        step = both[1] if both is not None else t_degrees_step(nu, m.n, *sums) if estimated else 0.0
+        new_nu = min(max(math.log(nu) + step, low), high) if estimated else math.log(nu)
+        moves.append(np.append(new, [math.log(new_sigma2), new_nu]) - points[-1])
         rounds += 1
         converged = bool(np.max(np.abs(moves[-1])) < tol)
         following = _accelerated(points, moves)
-        beta, sigma2 = following[:-1], math.exp(following[-1])
+        beta, sigma2 = following[:-2], math.exp(following[-2])
+        nu = math.exp(min(max(following[-1], low), high)) if estimated else nu
     # Expected information of the t model.
     information = (nu + 1) / (nu + 3) / sigma2
     flat = np.empty((len(columns), len(columns)))
@@ -184,6 +198,7 @@ def robust_t_fit(
         coef,
         float(math.sqrt(sigma2) * scale[-1]),
         nu,
+        estimated and not NU_RANGE[0] * (1 + 1e-9) < nu < NU_RANGE[1] * (1 - 1e-9),
         rounds,
         converged,
         m.n,

@@ -83,29 +83,42 @@ def _by_size(sums: DataFrame, p: int) -> DataFrame:
 
 
 def _evaluate(sizes: DataFrame, m: Moments, ratios: Sequence[float]) -> dict[float, tuple]:
-    """Restricted criterion and the reduced cross-products at each variance ratio."""
+    """Restricted criterion, the reduced cross-products and the criterion's slope in the
+    logarithm of the ratio, at each variance ratio."""
     p = len(m.mean)
     n, t = F.col("_n"), F.col("_t")
     shrink = t / (1 + n * t)
+    change = 1 / ((1 + n * t) * (1 + n * t))
     at = sizes.withColumn("_t", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
     rows = at.groupBy("_t").agg(
         F.sum(F.col("_m") * F.log1p(n * t)),
         F.sum(shrink * F.col("_m") * n * n),
         *[F.sum(shrink * n * F.col(f"_t{i}")) for i in range(p)],
         *[F.sum(shrink * F.col(f"_o{i}_{j}")) for i, j in _pairs(p)],
+        F.sum(change * F.col("_m") * n * n),
+        *[F.sum(change * n * F.col(f"_t{i}")) for i in range(p)],
+        *[F.sum(change * F.col(f"_o{i}_{j}")) for i, j in _pairs(p)],
+        F.sum(F.col("_m") * n / (1 + n * t)),
     ).collect()
     found = {}
     for row in rows:
-        gram = np.zeros((p + 1, p + 1))
-        gram[0, 0] = m.n - row[2]
-        gram[0, 1:] = gram[1:, 0] = -np.array(row[3 : 3 + p])
-        gram[1:, 1:] = m.cross - _symmetric(p, row[3 + p :])
+        gram, moved = np.zeros((p + 1, p + 1)), np.zeros((p + 1, p + 1))
+        half = 1 + p + len(_pairs(p))
+        for into, values in ((gram, row[2 : 2 + half]), (moved, row[2 + half : 2 + 2 * half])):
+            into[0, 0] = values[0]
+            into[0, 1:] = into[1:, 0] = values[1 : 1 + p]
+            into[1:, 1:] = _symmetric(p, values[1 + p :])
+        gram = -gram
+        gram[0, 0] += m.n
+        gram[1:, 1:] += m.cross
         xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
         beta = np.linalg.solve(xx, xy)
         rss = yy - xy @ beta
         free = m.n - p
         criterion = free * math.log(rss / free) + row[1] + np.linalg.slogdet(xx)[1]
-        found[row[0]] = (float(criterion), beta, xx, float(rss / free))
+        c = np.append(-beta, 1.0)
+        lost = free * (c @ moved @ c) / rss + np.trace(np.linalg.solve(xx, moved[:-1, :-1]))
+        found[row[0]] = (float(criterion), beta, xx, float(rss / free), float(row[0] * (row[-1] - lost)))
     return found
 
 
@@ -115,13 +128,17 @@ RATIO_HIGH = 6.0
 RATIO_STEPS = (0.5, 0.05, 0.005, 0.0005)
 # Beyond this power of ten the residual variance is numerically zero.
 RATIO_LIMIT = 60.0
+# Secant steps from the finest grid, and the distance of the first two points.
+SECANT_STEPS = 4
+SECANT_SPAN = 1e-4
 
 
 def random_intercept_fit(df: DataFrame, response: str, predictors: Sequence[str], key: str) -> MixedFit:
     """Exact REML fit of ``response ~ predictors + (1 | key)``.
 
     The variance ratio is found on successively finer grids, all values of a
-    grid in one pass over the table of group sizes.  The first grid moves up
+    grid in one pass over the table of group sizes, and then where the criterion's
+    slope vanishes, by secant steps.  The first grid moves up
     until its minimum lies inside; a ratio that tends to zero is taken as zero,
     one that tends to infinity raises.
     """
@@ -147,13 +164,12 @@ def random_intercept_fit(df: DataFrame, response: str, predictors: Sequence[str]
         low, high = logs[max(best - 1, 0)], logs[min(best + 1, count)]
     middle = logs[best]
     if 0 < best < count:
-        a, b, c = scores[best - 1 : best + 2]
-        middle += RATIO_STEPS[-1] * 0.5 * (a - c) / (a - 2 * b + c)
+        middle = _flat(sizes, m, middle, logs[best - 1], logs[best + 1])
     ratio = float(10.0**middle)
     final = _evaluate(sizes, m, [ratio, 0.0])
     if final[0.0][0] <= final[ratio][0]:
         ratio = 0.0
-    criterion, beta, xx, sigma2 = final[ratio]
+    criterion, beta, xx, sigma2, _ = final[ratio]
 
     # Undo the centring of predictors and response.
     back = np.eye(len(columns))
@@ -166,6 +182,20 @@ def random_intercept_fit(df: DataFrame, response: str, predictors: Sequence[str]
     )
 
 
+def _flat(sizes: DataFrame, m: Moments, start: float, low: float, high: float) -> float:
+    """Where between ``low`` and ``high`` the criterion has no slope (log10 of the ratio)."""
+    one, two = start, start + SECANT_SPAN
+    found = _evaluate(sizes, m, [10.0**one, 10.0**two])
+    here, there = found[10.0**one][4], found[10.0**two][4]
+    for _ in range(SECANT_STEPS):
+        if there == here:
+            break
+        following = min(max(two - there * (two - one) / (there - here), low), high)
+        one, here, two = two, there, following
+        there = _evaluate(sizes, m, [10.0**two])[10.0**two][4]
+    return two
+
+
 def group_effects(fit: MixedFit, name: str = "effect") -> DataFrame:
     """Best linear unbiased prediction of each animal's intercept shift."""
     left = F.col(f"_s{len(fit.predictors)}") - F.lit(float(fit.centred_coef[0])) * F.col("_n")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.conditional import Conditional
 from driftline.operators.filters import require
 from driftline.operators.linear import INTERCEPT, moments
 from driftline.operators.mixed import _pairs, group_gram
@@ -32,6 +33,7 @@ class SlopesFit:
     criterion: float
     n: int
     converged: bool
+    centre: np.ndarray
     reduced: tuple
 
     @property
@@ -173,7 +175,8 @@ def random_slopes_fit(
         current.criterion,
         m.n,
         converged,
-        (gram, p, scale, where, d, current.beta, scale[-1] * group_back),
+        m.mean,
+        (gram, p, scale, where, d, current.beta, scale[-1] * group_back, current.sigma2 * current.inverse),
     )
 
 
@@ -183,7 +186,7 @@ def slope_effects(fit: SlopesFit) -> DataFrame:
     One row per animal: the key, ``n`` and a column for every random term, to be
     added to the fixed coefficient of that name.
     """
-    gram, p, scale, where, d, beta, back = fit.reduced
+    gram, p, scale, where, d, beta, back, _ = fit.reduced
     key, terms = fit.key, [INTERCEPT, *fit.slopes]
     key_type = gram.schema[key].dataType.simpleString()
     schema = ", ".join([f"`{key}` {key_type}", "n long", *[f"`{t}` double" for t in terms]])
@@ -196,3 +199,25 @@ def slope_effects(fit: SlopesFit) -> DataFrame:
                 yield pd.DataFrame({key: pdf[key], "n": pdf["_n"], **dict(zip(terms, own.T))})
 
     return gram.mapInPandas(shifts, schema)
+
+
+def slopes_conditional(fit: SlopesFit) -> Conditional:
+    """What :func:`predict_conditional` needs to predict at each animal's own line."""
+    gram, p, scale, where, d, beta, _, cov = fit.reduced
+    q, unit, ratio = len(where), float(scale[-1]), fit.sigma2 / float(scale[-1]) ** 2
+    key = fit.key
+    kind = gram.schema[key].dataType.simpleString()
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                _, _, a, _, h = _animals(pdf, p, scale, where, d)
+                yield pd.DataFrame({
+                    "key": pdf[key], "shifts": list(h @ np.append(-beta, 1.0)),
+                    "lean": list(h[:, :, :-1].reshape(len(pdf), q * p)),
+                    "spread": list(ratio * a.reshape(len(pdf), q * q))})
+
+    animals = gram.mapInPandas(own, f"key {kind}, shifts array<double>, lean array<double>, spread array<double>")
+    return Conditional(
+        fit.predictors, fit.key, fit.centre[:-1], scale[:-1], float(fit.centre[-1]), unit, beta, cov, where,
+        settle(animals.withColumnRenamed("key", key)))

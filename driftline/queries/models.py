@@ -24,13 +24,14 @@ from driftline.operators.mixed import (
     RATIO_HIGH,
     RATIO_LOW,
     RATIO_STEPS,
+    SECANT_SPAN,
+    SECANT_STEPS,
     bootstrap_se,
     cluster_bootstrap,
     group_effects,
     predict_by_group,
     random_intercept_fit,
 )
-from driftline.operators.slopes import random_slopes_fit
 from driftline.queries.registry import FIXES, query, rnd, rounded, sql_rnd
 
 # Hours since the first day: the time predictor of the event models.
@@ -304,12 +305,16 @@ def _reml_sql() -> str:
         return [
             f"""{name}_s AS (SELECT v, any_value(t) AS t, sum(ln(1 + n * t)) AS logs, sum(t / (1 + n * t) * n * n) AS r00, sum(t / (1 + n * t) * n * sx) AS r01,
     sum(t / (1 + n * t) * n * sy) AS r0y, sum(t / (1 + n * t) * sx * sx) AS r11, sum(t / (1 + n * t) * sx * sy) AS r1y,
-    sum(t / (1 + n * t) * sy * sy) AS ryy FROM grp, {source} GROUP BY v)""",
-            f"""{name}_g AS (SELECT v, t, logs, n - r00 AS g00, -r01 AS g01, -r0y AS g0y, xx - r11 AS g11, xy - r1y AS g1y,
+    sum(t / (1 + n * t) * sy * sy) AS ryy, sum(n / (1 + n * t)) AS q, sum(n * n / ((1 + n * t) * (1 + n * t))) AS d00,
+    sum(n * sx / ((1 + n * t) * (1 + n * t))) AS d01, sum(n * sy / ((1 + n * t) * (1 + n * t))) AS d0y, sum(sx * sx / ((1 + n * t) * (1 + n * t))) AS d11,
+    sum(sx * sy / ((1 + n * t) * (1 + n * t))) AS d1y, sum(sy * sy / ((1 + n * t) * (1 + n * t))) AS dyy FROM grp, {source} GROUP BY v)""",
+            f"""{name}_g AS (SELECT v, t, logs, q, d00, d01, d0y, d11, d1y, dyy, n - r00 AS g00, -r01 AS g01, -r0y AS g0y, xx - r11 AS g11, xy - r1y AS g1y,
     yy - ryy AS gyy, n FROM {name}_s, tot)""",
             f"""{name}_b AS (SELECT *, (g11 * g0y - g01 * g1y) / (g00 * g11 - g01 * g01) AS b0,
     (g00 * g1y - g01 * g0y) / (g00 * g11 - g01 * g01) AS b1 FROM {name}_g)""",
             f"""{name} AS MATERIALIZED (SELECT *, gyy - b0 * g0y - b1 * g1y AS rss,
+    t * (q - (n - 2) * (dyy - 2 * b0 * d0y - 2 * b1 * d1y + b0 * b0 * d00 + 2 * b0 * b1 * d01 + b1 * b1 * d11) / (gyy - b0 * g0y - b1 * g1y)
+      - (g11 * d00 - 2 * g01 * d01 + g00 * d11) / (g00 * g11 - g01 * g01)) AS slope,
     (n - 2) * ln((gyy - b0 * g0y - b1 * g1y) / (n - 2)) + logs + ln(g00 * g11 - g01 * g01) AS score FROM {name}_b)""",
         ]
 
@@ -328,10 +333,16 @@ def _reml_sql() -> str:
     ORDER BY score LIMIT 1)"""
         )
     last = len(RATIO_STEPS) - 1
-    parts.append(
-        f"""peak AS (SELECT v, pow(10.0::double, v) AS t FROM (SELECT v + coalesce({RATIO_STEPS[-1]!r}::double * 0.5::double * (sa - sc) / (sa - 2 * sb + sc), 0) AS v
-    FROM best{last}) UNION ALL SELECT -99, 0.0::double)"""
-    )
+    # Secant steps to where the slope vanishes; on an end of the grid the ratio stays.
+    parts.append(f"p0 AS MATERIALIZED (SELECT v, pow(10.0::double, v) AS t, sa IS NOT NULL AND sc IS NOT NULL AS inside, lo, hi FROM best{last})")
+    parts.append(f"p1 AS MATERIALIZED (SELECT v + {SECANT_SPAN!r}::double AS v, pow(10.0::double, v + {SECANT_SPAN!r}::double) AS t FROM p0)")
+    for i in range(SECANT_STEPS + 1):
+        parts += scored(f"e{i}", f"p{i}")
+        if i:
+            step = "b.v - CASE WHEN b.slope = a.slope THEN 0 ELSE b.slope * (b.v - a.v) / (b.slope - a.slope) END"
+            parts.append(f"""p{i + 1} AS MATERIALIZED (SELECT v, pow(10.0::double, v) AS t FROM (
+    SELECT CASE WHEN p0.inside THEN greatest(least({step}, p0.hi), p0.lo) ELSE p0.v END AS v FROM e{i - 1} a, e{i} b, p0))""")
+    parts.append(f"peak AS (SELECT v, t FROM p{SECANT_STEPS + 1} UNION ALL SELECT -99, 0.0::double)")
     parts += scored("ends", "peak")
     parts.append("fin AS MATERIALIZED (SELECT *, rss / (n - 2) AS s2, g00 * g11 - g01 * g01 AS det FROM ends ORDER BY score, t LIMIT 1)")
     return ", ".join(parts)
@@ -384,14 +395,6 @@ def q_predict_by_animal(t):
     return rounded(predict_by_group(grid, reml(t)).select("animal", "hours", "fit"), fit=3)
 
 
-@query("q_random_slopes")
-def q_random_slopes(t):
-    fit = random_slopes_fit(timed(t), "value", ["hours", "lat"], ["lat"], "animal", tol=1e-4)
-    rows = [(n, float(b), float(s)) for n, b, s in zip(fit.terms, fit.coef, fit.std_error)]
-    rows += [("sigma", fit.sigma2**0.5, None), ("converged", float(fit.converged), None)]
-    return rounded(t.spark.createDataFrame(rows, "term string, estimate double, std_error double"), estimate=4, std_error=4)
-
-
 # Gamma models need a positive response; some event values are zero.
 @query(
     "q_gamma_by_state",

@@ -121,8 +121,8 @@ CARBON_CASE = """CASE WHEN x >= -19 AND x <= -18.5 THEN 'Low' WHEN x > -18.5 AND
     f"""WITH d AS (SELECT l_orderkey, l_linenumber, -20.0::double + l_quantity / 12.5::double AS x FROM lineitem),
 e AS (SELECT *, {CARBON_CASE} AS class FROM d)
 SELECT l_orderkey, l_linenumber, class,
-  CASE class WHEN 'Low' THEN '-19 to -18.5' WHEN 'Low-medium' THEN '-18.5 to -18' WHEN 'Medium' THEN '-18 to -17.5'
-    WHEN 'Medium-high' THEN '-17.5 to -17' ELSE '> -17' END AS label,
+  CASE class WHEN 'Low' THEN '-19 to -18.5' WHEN 'Low-medium' THEN '-18.4 to -18' WHEN 'Medium' THEN '-17.9 to -17.5'
+    WHEN 'Medium-high' THEN '-17.4 to -17' ELSE '-16.9 to -16' END AS label,
   CASE class WHEN 'Low' THEN 1 WHEN 'Low-medium' THEN 2 WHEN 'Medium' THEN 3 WHEN 'Medium-high' THEN 4 ELSE 5 END::int AS class_order,
   CASE WHEN x < -19 THEN 'Below' ELSE class END AS class_apart
 FROM e""",
@@ -147,8 +147,8 @@ def q_bins_closed_right(t):
     """WITH d AS (SELECT l_orderkey, l_linenumber, 10.0::double + l_quantity / 8.0::double AS x FROM lineitem),
 classed AS (SELECT l_orderkey, l_linenumber, CASE WHEN x >= 11 AND x < 12.5 THEN 'Low' WHEN x >= 12.5 AND x < 14 THEN 'Medium'
   WHEN x >= 14 AND x < 15.5 THEN 'Medium-high' ELSE 'High' END AS class FROM d)
-SELECT *, CASE class WHEN 'Low' THEN '11 to 12.5' WHEN 'Medium' THEN '12.5 to 14' WHEN 'Medium-high' THEN '14 to 15.5'
-  ELSE '> 15.5' END AS label FROM classed""",
+SELECT *, CASE class WHEN 'Low' THEN '11 to 12.4' WHEN 'Medium' THEN '12.5 to 13.9' WHEN 'Medium-high' THEN '14 to 15.4'
+  ELSE '15.5 to 17.3' END AS label FROM classed""",
 )
 def q_bins_closed_left(t):
     x = F.lit(10.0) + F.col("l_quantity") / 8.0

@@ -134,7 +134,7 @@ def test_class_extras(spark):
         bins.relabel(F.lit("Medium"), bins.CARBON_NAMES, bins.CARBON_LABELS),
         bins.class_order(F.lit("Medium-high"), bins.NITROGEN_NAMES),
     )
-    assert list(got) == ["Below", None, "-18 to -17.5", 3]
+    assert list(got) == ["Below", None, "-17.9 to -17.5", 3]
 
 
 def test_longitude_and_ids(spark):
