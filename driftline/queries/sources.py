@@ -16,7 +16,7 @@ from driftline.sources.delimited import (
     write_decimal_comma,
 )
 from driftline.sources.export import export_by_key, export_routes, materialise, route_by_completeness
-from driftline.sources.multifile import read_many, repair_aliases, with_owner, year_of_trip
+from driftline.sources.multifile import FILE, read_many, repair_aliases, trips_of_years, with_owner, year_of_trip
 
 TRACK_TYPES = {"JulDate": "double", "Lat": "double", "Lon": "double", "Long": "double", "FixID": "bigint"}
 
@@ -183,6 +183,24 @@ def q_trip_year(t):
     return trips.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("fix_id").alias("first_id"))
 
 
+@query(
+    "q_trip_files",
+    f"""WITH {FIXES}, trips AS (SELECT fix_id, lat, (2000 + animal % 20) * 1000 + 7 AS trip FROM fixes)
+SELECT trip::int AS trip, count(*) AS n, 1 AS files, min(fix_id) AS first_id, {sql_rnd('max(lat)')} AS max_lat
+FROM trips WHERE trip BETWEEN 2004000 AND 2015999 GROUP BY trip""",
+)
+def q_trip_files(t):
+    """One file a trip is written; those of other years are never opened."""
+    folder = scratch_path(t.spark, "trips")
+    trip = (2000 + F.col("animal") % 20) * 1000 + 7
+    fixes = t.fixes().select("fix_id", "lat", trip.cast("int").alias("trip"), trip.alias("folder"))
+    fixes.repartition("folder").write.partitionBy("folder").option("header", True).csv(folder)
+    rows = read_many(t.spark, folder, "^folder=" + trips_of_years(2004, 2015), {"fix_id": "bigint", "lat": "double", "trip": "int"}, below=True)
+    return rows.groupBy("trip").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(FILE).cast("int").alias("files"),
+        F.min("fix_id").alias("first_id"), rnd(F.max("lat")).alias("max_lat"))
+
+
 @query(
     "q_first_rows",
     f"""WITH {FIXES} SELECT fix_id, {sql_rnd('max(value) OVER ()')} AS peak FROM fixes ORDER BY ts, fix_id LIMIT 6""",

@@ -17,13 +17,21 @@ from driftline.sources.delimited import read_delimited
 FILE = "source_file"
 
 
-def matching_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+def trips_of_years(first: int, last: int) -> str:
+    """Pattern of the seven-digit trip numbers that begin with a year from ``first`` to ``last``."""
+    return rf"(?<!\d)({'|'.join(str(y) for y in range(first, last + 1))})\d{{3}}(?!\d)"
+
+
+def matching_files(spark: SparkSession, folder: str, pattern: str, below: bool = False) -> DataFrame:
     """Files whose name contains a match of the regular expression, with sizes.
 
-    Only the listing is read; file contents are not.
+    ``below`` matches the whole path below ``folder`` instead, so that names of
+    subfolders can select files.  Only the listing is read; file contents are not.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
+    if below:
+        name = F.regexp_replace("path", "^.*" + re.escape(folder.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
     return listed.select("path", "length", name.alias("name")).where(F.col("name").rlike(pattern))
 
 
@@ -55,15 +63,19 @@ def read_many(
     types: Mapping[str, str],
     sep: str = ",",
     aliases: Mapping[str, str] | None = None,
+    below: bool = False,
 ) -> DataFrame:
     """Read all matching files and bind their rows by column name.
 
+    Only files that :func:`matching_files` selects are opened.  ``source_file`` is
+    the name of a row's file.
+
     Files that share a header are read together; the groups are united by name
     with NULL for missing columns.  ``types`` gives the type of known columns
     (others are text), so an id stays text even if it looks like a number.
     ``aliases`` maps a deviating column name to the usual one.
     """
-    paths = [_as_literal_path(r.path) for r in matching_files(spark, folder, pattern).select("path").collect()]
+    paths = [_as_literal_path(r.path) for r in matching_files(spark, folder, pattern, below).select("path").collect()]
     if not paths:
         raise FileNotFoundError(f"no file in {folder} matches {pattern}")
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)

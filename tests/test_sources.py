@@ -13,7 +13,7 @@ from driftline.sources.delimited import (
     write_decimal_comma,
 )
 from driftline.sources.export import export_by_key, materialise, route_by_completeness
-from driftline.sources.multifile import matching_files, read_many, year_of_trip
+from driftline.sources.multifile import matching_files, read_many, trips_of_years, year_of_trip
 
 TYPES = {"JulDate": "double", "Lat": "double", "Lon": "double", "Long": "double"}
 
@@ -36,6 +36,20 @@ def test_header_drift_binds_by_name(spark, tmp_path):
         read_many(spark, str(tmp_path), "DiveStat", TYPES)
 
 
+def test_files_of_years_are_chosen_before_any_is_opened(spark, tmp_path):
+    for name in ("2013999_a", "2014001_b", "2015123_c", "2016001_d", "92014001_e", "20140010_f"):
+        (tmp_path / f"Track_{name}.csv").write_text(f"SealID,Lat\n{name},1\n")
+    (tmp_path / "trip=2014777").mkdir()
+    (tmp_path / "trip=2014777" / "part-0.csv").write_text("SealID,Lat\ninside,2\n")
+    years = trips_of_years(2014, 2015)
+    rows = read_many(spark, str(tmp_path), f"^Track_{years}", TYPES)
+    assert {r.SealID for r in rows.collect()} == {"2014001_b", "2015123_c"}
+    assert sorted(f.rsplit("/", 1)[-1] for f in rows.inputFiles()) == ["Track_2014001_b.csv", "Track_2015123_c.csv"]
+    assert [r.SealID for r in read_many(spark, str(tmp_path), f"^trip={years}/", TYPES, below=True).collect()] == ["inside"]
+    with pytest.raises(FileNotFoundError):
+        read_many(spark, str(tmp_path), trips_of_years(1990, 1991), TYPES)
+
+
 def test_worksheet_sections(spark, tmp_path):
     path = tmp_path / "sheet.csv"
     header = "SealID;e;;Linf;Lrec;^;K;Partial;RecDate;RecDate;T0;T0;;True\n"
