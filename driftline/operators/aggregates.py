@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.distributions import f_tail
 from driftline.operators.filters import with_moments
 from driftline.operators.quantiles import group_quantiles
 
@@ -169,7 +170,7 @@ def box_outliers(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def one_way_anova(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """One row per response: sums of squares, degrees of freedom and F."""
+    """One row per response: sums of squares, degrees of freedom, F and the probability of a larger one."""
     # Responses are centred first so that the between-group sum keeps its digits.
     centred = with_moments(df, columns).select(
         key, *[(F.col(c) - F.col(f"_moments.{c}_mean")).alias(c) for c in columns]
@@ -196,6 +197,6 @@ def one_way_anova(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
         between.alias("ss_between"),
         "ss_within",
         F.try_divide(between / df_between, F.col("ss_within") / df_within).alias("f_value"),
-    )
+    ).withColumn("p_value", f_tail(F.col("f_value"), F.col("df_between"), F.col("df_within")))
 
 

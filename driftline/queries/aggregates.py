@@ -16,6 +16,7 @@ from driftline.operators.aggregates import (
 )
 from driftline.operators.grids import draws_to_long
 from driftline.queries.registry import FIXES, query, rnd, rounded, sql_rnd
+from driftline.queries.tails import sql_f_tail
 
 LONG = """long AS (
   SELECT l_suppkey, 'a' AS draw, l_quantity / 10 AS value FROM lineitem
@@ -159,13 +160,15 @@ def q_box_outliers(t):
 
 
 def _anova(column: str) -> str:
-    return f"""SELECT '{column}' AS response, (count(*) - 1)::bigint AS df_between, (sum(n) - count(*))::bigint AS df_within,
-  {sql_rnd('sum(n * (m - g) * (m - g))', 4)} AS ss_between, {sql_rnd('sum(n * v)', 3)} AS ss_within,
-  {sql_rnd('(sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*)))')} AS f_value
-FROM (SELECT kind, count(*) AS n, avg({column}) AS m, var_pop({column}) AS v FROM fixes GROUP BY kind),
-  (SELECT avg({column}) AS g FROM fixes)"""
+    # Five kinds: the degrees of freedom between them are even, as the sum of the tail wants them.
+    return f"""SELECT '{column}' AS response, df_between, df_within, {sql_rnd('ss_between', 4)} AS ss_between, {sql_rnd('ss_within', 3)} AS ss_within,
+  {sql_rnd('f')} AS f_value, {sql_rnd(sql_f_tail('f', 'df_between', 'df_within'))} AS p_value
+FROM (SELECT *, (ss_between / df_between) / (ss_within / df_within) AS f FROM (
+  SELECT (count(*) - 1)::bigint AS df_between, (sum(n) - count(*))::bigint AS df_within, sum(n * (m - g) * (m - g)) AS ss_between, sum(n * v) AS ss_within
+  FROM (SELECT kind, count(*) AS n, avg({column}) AS m, var_pop({column}) AS v FROM fixes GROUP BY kind),
+    (SELECT avg({column}) AS g FROM fixes)))"""
 
 
 @query("q_anova", f"WITH {FIXES} {_anova('value')} UNION ALL {_anova('lat')}")
 def q_anova(t):
-    return rounded(one_way_anova(t.fixes(), "kind", ["value", "lat"]), ss_between=4, ss_within=3, f_value=6)
+    return rounded(one_way_anova(t.fixes(), "kind", ["value", "lat"]), ss_between=4, ss_within=3, f_value=6, p_value=6)

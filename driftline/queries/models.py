@@ -7,6 +7,7 @@ predictors and follows the same search grids, so fits are compared exactly.
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as sc
+from driftline.functions.distributions import chi2_tail
 from driftline.operators import diagnostics as dg
 from driftline.operators.glm import gamma_glm, robust_t_fit
 from driftline.operators.grids import dummies, expand_grid, levels
@@ -14,7 +15,7 @@ from driftline.operators.linear import (
     breusch_pagan,
     coef_table,
     fit_summary,
-    line_at,
+    line_band,
     line_by_group,
     ols_fit,
     predict_band,
@@ -33,6 +34,7 @@ from driftline.operators.mixed import (
     random_intercept_fit,
 )
 from driftline.queries.registry import FIXES, query, rnd, rounded, sql_rnd
+from driftline.queries.tails import sql_chi2_tail, sql_t_quantiles, sql_t_tail
 
 # Hours since the first day: the time predictor of the event models.
 START_MICROS = 1704067200000000
@@ -55,21 +57,23 @@ def one_line(x: str, y: str, source: str, weight: str = "1") -> str:
 
 @query(
     "q_line_by_group",
-    f"""WITH {HOURS}, lines AS (
+    f"""WITH {HOURS}, lines AS MATERIALIZED (
   SELECT animal, regr_count(value, hours)::bigint AS n, regr_slope(value, hours) AS slope,
     regr_intercept(value, hours) AS intercept, regr_r2(value, hours) AS r2, regr_avgx(value, hours) AS x_mean,
     regr_sxx(value, hours) AS sxx,
     CASE WHEN count(*) > 2 THEN sqrt(greatest(regr_syy(value, hours)
       - regr_sxy(value, hours) * regr_sxy(value, hours) / nullif(regr_sxx(value, hours), 0), 0) / (count(*) - 2)) END AS sigma
-  FROM timed GROUP BY animal)
+  FROM timed GROUP BY animal),
+{', '.join(sql_t_quantiles('lines', '(n - 2)', 0.05))},
+placed AS (SELECT lines.*, t, intercept + slope * 360 AS fit,
+    sigma * sqrt(1.0::double / n + (360 - x_mean) * (360 - x_mean) / nullif(sxx, 0)) AS se FROM lines LEFT JOIN quantiles ON nu = n - 2)
 SELECT animal, n, {sql_rnd('slope')} AS slope, {sql_rnd('intercept')} AS intercept, {sql_rnd('r2')} AS r2,
-  {sql_rnd('x_mean')} AS x_mean, {sql_rnd('sxx', 3)} AS sxx, {sql_rnd('sigma')} AS sigma,
-  {sql_rnd('intercept + slope * 360')} AS fit,
-  {sql_rnd('sigma * sqrt(1.0::double / n + (360 - x_mean) * (360 - x_mean) / nullif(sxx, 0))')} AS se FROM lines""",
+  {sql_rnd('x_mean')} AS x_mean, {sql_rnd('sxx', 3)} AS sxx, {sql_rnd('sigma')} AS sigma, {sql_rnd('fit')} AS fit, {sql_rnd('se')} AS se,
+  {sql_rnd('fit - t * se', 5)} AS lower, {sql_rnd('fit + t * se', 5)} AS upper FROM placed""",
 )
 def q_line_by_group(t):
-    lines = line_at(line_by_group(timed(t), ["animal"], "value", "hours"), F.lit(360.0))
-    return rounded(lines, slope=6, intercept=6, r2=6, x_mean=6, sxx=3, sigma=6, fit=6, se=6)
+    lines = line_band(line_by_group(timed(t), ["animal"], "value", "hours"), F.lit(360.0))
+    return rounded(lines, slope=6, intercept=6, r2=6, x_mean=6, sxx=3, sigma=6, fit=6, se=6, lower=5, upper=5)
 
 
 TWO = """
@@ -90,10 +94,24 @@ PREDICTORS = ["l_quantity", "l_tax"]
 @query(
     "q_ols",
     f"""WITH {ITEMS}, {TWO}
-SELECT term, {sql_rnd('b', 4)} AS estimate, {sql_rnd('se', 4)} AS std_error, {sql_rnd('b / se', 4)} AS t_value FROM coefs""",
+SELECT term, {sql_rnd('b', 4)} AS estimate, {sql_rnd('se', 4)} AS std_error, {sql_rnd('b / se', 4)} AS t_value,
+  {sql_rnd(sql_t_tail('(b / se)', 'nu'))} AS p_value FROM coefs, (SELECT count(*) - 3 AS nu FROM d)""",
 )
 def q_ols(t):
     fit = ols_fit(t.lineitem, "l_extendedprice", PREDICTORS)
+    return rounded(coef_table(t.spark, fit, p_value=True), estimate=4, std_error=4, t_value=4, p_value=6)
+
+
+@query(
+    "q_ols_aliased",
+    f"""WITH {ITEMS}, {TWO}
+SELECT term, {sql_rnd('b', 4)} AS estimate, {sql_rnd('se', 4)} AS std_error, {sql_rnd('b / se', 4)} AS t_value FROM coefs
+UNION ALL VALUES ('doubled', NULL, NULL, NULL), ('same', NULL, NULL, NULL), ('both', NULL, NULL, NULL)""",
+)
+def q_ols_aliased(t):
+    rows = t.lineitem.withColumns({
+        "doubled": 2 * F.col("l_quantity") + 1, "same": F.lit(7.0), "both": F.col("l_quantity") - 3 * F.col("l_tax")})
+    fit = ols_fit(rows, "l_extendedprice", ["l_quantity", "doubled", "same", "l_tax", "both"])
     return rounded(coef_table(t.spark, fit), estimate=4, std_error=4, t_value=4)
 
 
@@ -161,12 +179,14 @@ def q_predict_band(t):
     "q_bp",
     f"""WITH {ITEMS}, line AS ({one_line('x1', 'y', 'd')}),
 e AS (SELECT x1, (y - intercept - slope * x1) * (y - intercept - slope * x1) AS e2 FROM d, line)
-SELECT count(*) AS n, 1 AS df, {sql_rnd('count(*) * regr_r2(e2, x1)')} AS statistic FROM e""",
+SELECT count(*) AS n, 1 AS df, {sql_rnd('count(*) * regr_r2(e2, x1)')} AS statistic,
+  {sql_rnd(sql_chi2_tail('(count(*) * regr_r2(e2, x1))', '1'))} AS p_value FROM e""",
 )
 def q_bp(t):
     test = breusch_pagan(t.lineitem, "l_extendedprice", ["l_quantity"])
     row = (int(test["n"]), int(test["df"]), float(test["statistic"]))
-    return rounded(t.spark.createDataFrame([row], "n bigint, df int, statistic double"), statistic=6)
+    table = t.spark.createDataFrame([row], "n bigint, df int, statistic double")
+    return rounded(table.withColumn("p_value", chi2_tail(F.col("statistic"), F.col("df"))), statistic=6, p_value=6)
 
 
 RESIDUALS = f"""{HOURS}, line AS (SELECT regr_slope(value, hours) AS b, regr_intercept(value, hours) AS a FROM timed),
