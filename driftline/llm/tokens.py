@@ -29,7 +29,7 @@ from driftline.llm.common import text_bytes
 
 TABLE_ENTRIES = 32_768
 SAMPLE_ROWS = 20_000
-CHUNK_ENTRIES = 250_000
+CHUNK_ENTRIES = 500_000
 PIECE_ENTRIES = 100_000
 
 # The byte-level split rule, in terms of Python's classes; equal to the
@@ -49,6 +49,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+SPACE_LETTER = BYTE_LETTERS[0x20]  # ASCII letters stand for themselves
 
 
 class Kept(dict):
@@ -119,7 +120,10 @@ class PieceEncoder:
     def _after_space(self, word: str):
         """What a space and a stretch without spaces come to; plain words need no pattern."""
         if word.isalpha():
-            return self._piece(" " + word)
+            if not word.isascii():
+                return self._piece(" " + word)
+            known = self.frequent.get(" " + word) if self.frequent else None
+            return self._mapped(SPACE_LETTER + word) if known is None else known
         if word[-1:] in STOPS and word[:-1].isalpha():
             return self.join((self.spaced[word[:-1]], self.pieces[word[-1]]))
         return self._chunk(" " + word)
