@@ -12,50 +12,54 @@ under target along, so a source misses its target by about half its smallest
 document.  Copies of a size are dealt over ``BUCKETS`` hash buckets and inside them
 by hash order, so no group of equal documents ends in one task, and reruns agree.
 
-Sources are few next to documents: their number is checked against
-``MAX_SOURCES`` before their totals come to the driver.
+Sources may be many: their numbers, targets and tilts stay in tables, and a few sums
+reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import SPACE_WORD, hidden, shown, written
+from driftline.operators.skew import number_rows
 
 CAP = 2
 SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 BUCKETS = 256
-MAX_SOURCES = 100_000
-NEWTON_ROUNDS = 80
+NEWTON_ROUNDS = 1100
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-def filled_targets(sizes: list[int], weights: list[float], share: float, cap: float) -> list[float]:
-    """Targets by weight of ``share`` times all sizes; what exceeds ``cap`` times a
-    source's size is shared by the others by weight, until none exceeds it."""
-    targets, open_ones = [0.0] * len(sizes), set(range(len(sizes)))
-    left = share * sum(sizes)
-    while open_ones:
-        total = sum(weights[i] for i in open_ones)
-        full = {i for i in open_ones if left * weights[i] / total > cap * sizes[i]} if total else set()
-        if not full:
-            for i in open_ones:
-                targets[i] = left * weights[i] / total if total else 0.0
+def with_targets(sources: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """Add ``target`` to rows of ``size`` and ``_place`` (from 0, in the order that deals the weights).
+
+    Targets are a level times the weight, or ``cap`` times the size where that is less,
+    and come to ``share`` times all sizes.  The level rises round by round, each one
+    aggregate over the sources, until no more of them are full.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int"))
+    weighed = sources.withColumn("_weight", weight)
+    level, full = 0.0, -1
+    while True:
+        filled = F.lit(level) * F.col("_weight") > cap * F.col("size")
+        row = weighed.agg(
+            F.sum("size"), F.sum(F.when(filled, cap * F.col("size"))), F.sum(F.when(~filled, F.col("_weight"))),
+            F.count(F.when(filled, 1))).first()
+        if row[3] == full or not row[2]:
             break
-        for i in full:
-            targets[i] = float(cap * sizes[i])
-        left -= sum(targets[i] for i in full)
-        open_ones -= full
-    return targets
+        full, level = row[3], (share * row[0] - (row[1] or 0.0)) / row[2]
+    target = F.least(F.lit(level) * F.col("_weight"), (cap * F.col("size")).cast("double"))
+    if row[2] == 0 or row[2] is None:  # all full: each at its limit
+        target = (cap * F.col("size")).cast("double")
+    return weighed.withColumn("target", target).drop("_weight")
 
 
 def _rate(tilt: Column, size: Column, mean: Column, cap: float) -> Column:
@@ -65,45 +69,42 @@ def _rate(tilt: Column, size: Column, mean: Column, cap: float) -> Column:
     ).otherwise(cap / (1 + (cap - 1) * F.exp(-slope)))
 
 
-def _tilts(cells: DataFrame, sources: pd.DataFrame, cap: float) -> pd.DataFrame:
-    """Add the column ``tilt`` to the sources: Newton steps kept inside a bracket of the root."""
-    spark = cells.sparkSession
-    goal, size = sources["target"].to_numpy(float), sources["size"].to_numpy(float)
-    tilt = np.zeros(len(sources))
-    low, high = np.full(len(sources), -math.inf), np.full(len(sources), math.inf)
-    tilt[goal >= cap * size] = math.inf
-    tilt[(goal <= 0) & (size > 0)] = -math.inf
-    tilt[size == 0] = 0.0
-    moving = np.isfinite(tilt) & (size > 0)
+def _tilts(cells: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
+    """``_s``, ``_tilt``, ``_mean`` of every source: Newton steps kept inside a bracket of the root.
+
+    A round is one aggregate over the cells of the sources that still move; states stay
+    in a table.  Steps end when a source meets its target or can move no further; after
+    ``NEWTON_ROUNDS`` rounds, enough to halve a bracket to nothing, that is an error.
+    """
+    goal, size = F.col("target"), F.col("size")
+    start = F.when(size == 0, 0.0).when(goal >= cap * size, math.inf).when(goal <= 0, -math.inf).otherwise(0.0)
+    state = sources.select("_s", "size", "target", "_mean", start.alias("_tilt"),
+                           F.lit(-math.inf).alias("_low"), F.lit(math.inf).alias("_high"))
+    state = state.withColumn("_moving", (size > 0) & (F.abs("_tilt") < math.inf))
     for _ in range(NEWTON_ROUNDS):
-        if not moving.any():
-            break
-        known = spark.createDataFrame(pd.DataFrame({
-            "_s": sources["_s"][moving], "_tilt": tilt[moving], "_mean": sources["mean"][moving]}),
-            "_s int, _tilt double, _mean double")
+        state = written(state, "tilts")
+        if not state.where("_moving").limit(1).count():
+            return state.select("_s", "_tilt", "_mean")
         rate = _rate(F.col("_tilt"), F.col("_size"), F.col("_mean"), cap)
         words = F.col("_count") * F.col("_size")
-        sums = cells.join(F.broadcast(known), "_s").groupBy("_s").agg(  # MAX_SOURCES rows at most
-            F.sum(words * rate).alias("taken"),
-            F.sum(words * rate * (1 - rate / cap) * F.col("_size") / F.col("_mean")).alias("slope"),
-        ).toPandas().set_index("_s").reindex(sources["_s"])
-        over = sums["taken"].to_numpy(float) - goal
-        slope = sums["slope"].to_numpy(float)
-        moving &= np.abs(np.nan_to_num(over)) > np.maximum(1e-9 * goal, 1e-6)
-        for i in np.flatnonzero(moving):
-            if over[i] > 0:
-                high[i] = tilt[i]
-            else:
-                low[i] = tilt[i]
-            step = tilt[i] - over[i] / slope[i] if slope[i] > 0 else math.nan
-            if not low[i] < step < high[i]:
-                if math.isinf(low[i]) or math.isinf(high[i]):
-                    step = 4 * tilt[i] + (1 if over[i] < 0 else -1)
-                else:
-                    step = (low[i] + high[i]) / 2
-            moving[i] = step != tilt[i]
-            tilt[i] = step
-    return sources.assign(tilt=tilt)
+        sums = cells.join(state.where("_moving").select("_s", "_tilt", "_mean"), "_s").groupBy(F.col("_s").alias("_of")).agg(
+            F.sum(words * rate).alias("_taken"),
+            F.sum(words * rate * (1 - rate / cap) * F.col("_size") / F.col("_mean")).alias("_slope"))
+        tilt, over = F.col("_tilt"), F.col("_taken") - goal
+        wide = state.join(sums, F.col("_s") == F.col("_of"), "left").withColumn(
+            "_moving", F.col("_moving") & (F.abs(over) > F.greatest(1e-9 * goal, F.lit(1e-6))))
+        wide = wide.withColumns({
+            "_high": F.when(F.col("_moving") & (over > 0), tilt).otherwise(F.col("_high")),
+            "_low": F.when(F.col("_moving") & (over <= 0), tilt).otherwise(F.col("_low"))})
+        newton = tilt - F.try_divide(over, F.col("_slope"))
+        open_end = (F.col("_low") == -math.inf) | (F.col("_high") == math.inf)
+        middle = F.when(open_end, 4 * tilt + F.when(over < 0, 1).otherwise(-1)).otherwise((F.col("_low") + F.col("_high")) / 2)
+        inside = (F.col("_slope") > 0) & (newton > F.col("_low")) & (newton < F.col("_high"))
+        wide = wide.withColumn("_step", F.when(inside, newton).otherwise(middle))
+        state = wide.select(
+            "_s", "size", "target", "_mean", F.when(F.col("_moving"), F.col("_step")).otherwise(tilt).alias("_tilt"), "_low", "_high",
+            (F.col("_moving") & (F.col("_step") != tilt)).alias("_moving"))
+    raise RuntimeError(f"tilts still move after {NEWTON_ROUNDS} rounds")
 
 
 def _rounded(cap: int):
@@ -151,29 +152,22 @@ def _with_copies(
     made = {"_size": word_count(F.col(text_col)), "_tie": F.xxhash64(F.col(key), F.col(text_col))}
     rows = written(docs.select(F.col(source).cast("string").alias("_source"), *[c.alias(n) for n, c in made.items()]), "sizes")
     per_source = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("docs"))
-    names = per_source.limit(MAX_SOURCES + 1).collect()
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    sources = pd.DataFrame({
-        "_s": range(len(names)), "size": [r["size"] for r in names],
-        "mean": [max(r["size"] / r["docs"], 1e-9) for r in names],
-        "target": filled_targets([r["size"] for r in names], [weights[i % len(weights)] for i in range(len(names))],
-                                 share, cap)}).astype({"_s": "int32", "size": "int64", "target": float, "mean": float})
-    numbers = spark.createDataFrame(
-        [(r["_source"], i, int(r["size"]), float(t)) for i, (r, t) in enumerate(zip(names, sources["target"], strict=True))],
-        "_source string, _s int, _source_size long, _target double")
+    # Numbered in code-point order, NULL last, without gathering the sources.
+    numbered_sources = number_rows(written(per_source, "sources"), [], [F.col("_source").asc_nulls_last()], "_no", "_all")
+    sources = written(with_targets(
+        numbered_sources.withColumn("_place", F.col("_no") - 1), weights, share, cap
+    ).select("_source", F.col("_place").cast("int").alias("_s"), "size", "target",
+             F.greatest(F.col("size") / F.col("docs"), F.lit(1e-9)).alias("_mean")), "targets")
+    numbers = sources.select("_source", "_s", F.col("size").alias("_source_size"), F.col("target").alias("_target"))
 
     def numbered(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(numbers), df["_source"].eqNullSafe(numbers["_source"])).drop(numbers["_source"])
+        # A plain join: adaptive execution sends few sources to all tasks and splits a large one.
+        return df.join(numbers, df["_source"].eqNullSafe(numbers["_source"])).drop(numbers["_source"])
 
     bucket = F.pmod(F.col("_tie"), F.lit(BUCKETS)).cast("int")
     cells = written(
         numbered(rows).groupBy("_s", "_size", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_count")), "cells")
-    tilts = _tilts(cells, sources, cap)
-    solved = F.broadcast(spark.createDataFrame(
-        tilts[["_s", "tilt", "mean"]].rename(columns={"tilt": "_tilt", "mean": "_mean"}),
-        "_s int, _tilt double, _mean double"))
+    solved = _tilts(cells, sources, cap)
     by_size = cells.groupBy("_s", "_size").agg(F.sum("_count").alias("_count")).join(solved, "_s").select(
         "_s", "_size", "_count", _rate(F.col("_tilt"), F.col("_size"), F.col("_mean"), cap).alias("_rate"))
     copies = by_size.groupBy("_s").applyInPandas(_rounded(cap), "_s int, _size long, _copies long, _all long")

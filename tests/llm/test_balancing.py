@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.llm import balancing
@@ -69,7 +70,24 @@ def test_no_words_and_no_rows(session, odd_docs):
     assert balancing.mixed(odd_docs.limit(0)).collect() == []
 
 
-def test_targets():
-    assert balancing.filled_targets([10, 10, 100], [3, 1, 2], 1.5, 2) == [20, 20, 140]
-    assert balancing.filled_targets([], [], 1.5, 2) == []
-    assert balancing.filled_targets([0, 4], [3, 1], 1.5, 2) == [0, 6]
+def targets(session, sizes, weights, share=1.5, cap=2):
+    rows = session.createDataFrame(list(enumerate(sizes)), "_place long, size long")
+    return [r.target for r in balancing.with_targets(rows, weights, share, cap).orderBy("_place").collect()]
+
+
+def test_targets(session):
+    assert targets(session, [10, 10, 100], (3, 1, 2)) == [20, 20, 140]
+    assert targets(session, [], (3, 1, 2)) == []
+    assert targets(session, [0, 4], (3, 1)) == [0, 6]
+    assert targets(session, [5, 7], (1, 1), share=2) == [10, 14]
+    assert targets(session, [1, 2, 4, 8, 16, 1000], (1,)) == [2, 4, 8, 16, 32, pytest.approx(1484.5)]
+
+
+def test_many_sources(session):
+    """As many sources as documents: nothing about them is gathered."""
+    docs = session.range(6000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2500).alias("source"),
+        F.repeat(F.lit("w "), (1 + F.col("id") * 7919 % 40).cast("int")).alias("text"))
+    rows = mixed_rows(docs)
+    assert len(rows) == 6000
+    checked(rows, few=True)
