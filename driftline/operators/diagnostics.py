@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.functions.distributions import chi2_tail
 from driftline.functions.scalars import normal_quantile, plotting_position
 from driftline.operators.quantiles import group_quantiles
 from driftline.operators.skew import number_rows, with_neighbours
@@ -110,6 +111,76 @@ def jarque_bera(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return shape.withColumn("jb", F.col("n") / 6 * (s * s + k * k / 4))
 
 
+# Royston's approximations (1995), coefficients of rising powers.
+OUTER_WEIGHT = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
+NEXT_WEIGHT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SMALL_LIMIT = (-2.273, 0.459)
+SMALL_MEAN = (0.5440, -0.39978, 0.025054, -0.0006714)
+SMALL_SPREAD = (1.3822, -0.77857, 0.062767, -0.0020322)
+LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+LARGE_SPREAD = (-0.4803, -0.082676, 0.0030302)
+SMALL_ROWS = 11  # the first approximation holds up to here
+TWO_OUTER = 6  # from here on two weights at each end are set apart
+
+
+def _rising(coefficients: Sequence[float], x: Column) -> Column:
+    value = F.lit(float(coefficients[-1]))
+    for c in reversed(coefficients[:-1]):
+        value = value * x + F.lit(float(c))
+    return value
+
+
+def shapiro_wilk(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Shapiro-Wilk's W and its probability per group, for any number of rows from three on.
+
+    Values are ranked across range slices and meet their normal scores as an expression;
+    one aggregate follows, so no group is gathered.  NULL values are left out.  Fewer than
+    three rows and groups of one value give NULL.  The probability was calibrated for up
+    to 5000 rows and is the same formula beyond.
+    """
+    ranked = number_rows(df.where(F.col(column).isNotNull()), keys, [F.col(column).asc()], "_rank", "_n")
+    score = normal_quantile((F.col("_rank") - 0.375) / (F.col("_n") + 0.25))
+    placed = ranked.select(*keys, F.col(column).alias("_x"), "_rank", "_n", score.alias("_score"))
+    at = lambda rank, what: F.max(F.when(F.col("_rank") == rank, F.col(what)))
+    n = F.col("_n")
+    sums = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("_score") * F.col("_score")).alias("_mm"),
+        F.sum(F.col("_score") * F.col("_x")).alias("_mx"),
+        (F.var_pop("_x") * F.count(F.lit(1))).alias("_ss"),
+        (at(n, "_x") - at(F.lit(1), "_x")).alias("_outer"),
+        (at(n - 1, "_x") - at(F.lit(2), "_x")).alias("_next"),
+        at(n, "_score").alias("_m1"),
+        at(n - 1, "_score").alias("_m2"),
+    )
+    n, mm, m1, m2 = (F.col(c) for c in ("n", "_mm", "_m1", "_m2"))
+    two, root = n >= TWO_OUTER, 1 / F.sqrt(n)
+    length = F.sqrt(mm)
+    a1 = F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(_rising(OUTER_WEIGHT, root) + F.try_divide(m1, length))
+    a2 = F.when(two, _rising(NEXT_WEIGHT, root) + F.try_divide(m2, length))
+    inner = F.when(
+        two, F.try_divide(mm - 2 * m1 * m1 - 2 * m2 * m2, 1 - 2 * F.col("_a1") * F.col("_a1") - 2 * F.col("_a2") * F.col("_a2"))
+    ).when(n > 3, F.try_divide(mm - 2 * m1 * m1, 1 - 2 * F.col("_a1") * F.col("_a1")))
+    middle = F.col("_mx") - m1 * F.col("_outer") - F.when(two, m2 * F.col("_next")).otherwise(0.0)
+    total = F.col("_a1") * F.col("_outer") + F.when(two, F.col("_a2") * F.col("_next")).otherwise(0.0)
+    total = total + F.when(n > 3, F.try_divide(middle, F.sqrt("_inner"))).otherwise(0.0)
+    weighed = sums.withColumns({"_a1": a1, "_a2": a2}).withColumn("_inner", inner)
+    tested = weighed.withColumn("w", F.when((n >= 3) & (F.col("_ss") > 0), F.least(F.try_divide(total * total, F.col("_ss")), F.lit(1.0))))
+
+    w, logged = F.col("w"), F.ln(n)
+    off = F.ln(1 - w)
+    bent = -F.ln(_rising(SMALL_LIMIT, n) - off)
+    small = (bent - _rising(SMALL_MEAN, n)) / F.exp(_rising(SMALL_SPREAD, n))
+    large = (off - _rising(LARGE_MEAN, logged)) / F.exp(_rising(LARGE_SPREAD, logged))
+    z = tested.withColumn("_z", F.when(n <= SMALL_ROWS, small).otherwise(large))
+    beyond = chi2_tail(F.col("_z") * F.col("_z"), F.lit(1)) / 2
+    normal = F.when(F.col("_z") >= 0, beyond).otherwise(1 - beyond)
+    three = F.greatest(F.lit(6 / np.pi) * (F.asin(F.sqrt(w)) - F.asin(F.sqrt(F.lit(0.75)))), F.lit(0.0))
+    sure = F.when(w == 1, 1.0).when((n > 3) & (n <= SMALL_ROWS) & (_rising(SMALL_LIMIT, n) <= off), 0.0)
+    chance = F.when(n == 3, three).otherwise(F.coalesce(sure, normal))
+    return z.select(*keys, "n", "w", F.when(w.isNotNull(), chance).alias("p_value"))
+
+
 # Default bandwidth rule and margins of the density estimate.
 BANDWIDTH_FACTOR = 0.9
 IQR_TO_SD = 1.34

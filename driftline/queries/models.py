@@ -292,6 +292,25 @@ def q_jb(t):
     return rounded(dg.jarque_bera(t.fixes(), ["kind"], "value"), skewness=6, kurtosis=6, jb=4)
 
 
+# Daily means are near enough to normal for a probability worth comparing.
+@query(
+    "q_shapiro",
+    f"""WITH {FIXES}, d AS (SELECT kind, day, avg(value) AS x FROM fixes GROUP BY kind, day),
+o AS (SELECT kind, x, row_number() OVER (PARTITION BY kind ORDER BY x) AS rank, count(*) OVER (PARTITION BY kind) AS n FROM d),
+m AS (SELECT *, {sql_normal_quantile('p')} AS m FROM (SELECT *, (rank - 0.375::double) / (n + 0.25::double) AS p FROM o)),
+s AS (SELECT kind, any_value(n) AS n, sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (rank = n - 1) AS m2, 1 / sqrt(any_value(n)) AS u FROM m GROUP BY kind),
+a AS (SELECT *, {_sql_polynomial(dg.OUTER_WEIGHT, 'u')} + m1 / sqrt(mm) AS a1, {_sql_polynomial(dg.NEXT_WEIGHT, 'u')} + m2 / sqrt(mm) AS a2 FROM s),
+c AS (SELECT m.kind, x, CASE WHEN rank = 1 THEN -a1 WHEN rank = m.n THEN a1 WHEN rank = 2 THEN -a2 WHEN rank = m.n - 1 THEN a2
+    ELSE m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a FROM m JOIN a ON a.kind = m.kind),
+w AS (SELECT kind, count(*) AS n, sum(a * x) * sum(a * x) / (var_pop(x) * count(*)) AS w FROM c GROUP BY kind),
+z AS (SELECT *, (ln(1 - w) - {_sql_polynomial(dg.LARGE_MEAN, 'ln(n)')}) / exp({_sql_polynomial(dg.LARGE_SPREAD, 'ln(n)')}) AS z FROM w)
+SELECT kind, n, {sql_rnd('w')} AS w, {sql_rnd(f"CASE WHEN z >= 0 THEN {sql_chi2_tail('(z * z)', '1')} / 2 ELSE 1 - {sql_chi2_tail('(z * z)', '1')} / 2 END")} AS p_value FROM z""",
+)
+def q_shapiro(t):
+    means = t.fixes().groupBy("kind", "day").agg(F.avg("value").alias("x"))
+    return rounded(dg.shapiro_wilk(means, ["kind"], "x"), w=6, p_value=6)
+
+
 @query(
     "q_kde",
     f"""WITH f AS (SELECT count(value) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi,

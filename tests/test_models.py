@@ -1,4 +1,5 @@
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -210,6 +211,50 @@ def test_shape_checks(spark, rows):
     assert pairs[1][1] == pytest.approx(-pairs[N][1])
 
 
+def slow_shapiro(values):
+    """Weights and probability number by number."""
+    x, n = np.sort(values), len(values)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    a, mm, u = np.zeros(n), m @ m, n**-0.5
+    outer = sum(c * u**k for k, c in enumerate(dg.OUTER_WEIGHT)) + m[-1] / math.sqrt(mm)
+    if n == 3:
+        a[:] = [-math.sqrt(0.5), 0, math.sqrt(0.5)]
+    elif n <= 5:
+        a = m / math.sqrt((mm - 2 * m[-1] ** 2) / (1 - 2 * outer**2))
+        a[0], a[-1] = -outer, outer
+    else:
+        following = sum(c * u**k for k, c in enumerate(dg.NEXT_WEIGHT)) + m[-2] / math.sqrt(mm)
+        a = m / math.sqrt((mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * outer**2 - 2 * following**2))
+        a[:2], a[-2:] = [-outer, -following], [following, outer]
+    w = (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+    if n == 3:
+        return w, max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
+    if n <= 11:
+        top = dg.SMALL_LIMIT[0] + dg.SMALL_LIMIT[1] * n
+        value, at, centre, spread = -math.log(top - math.log(1 - w)), n, dg.SMALL_MEAN, dg.SMALL_SPREAD
+    else:
+        value, at, centre, spread = math.log(1 - w), math.log(n), dg.LARGE_MEAN, dg.LARGE_SPREAD
+    z = (value - sum(c * at**k for k, c in enumerate(centre))) / math.exp(sum(c * at**k for k, c in enumerate(spread)))
+    return w, math.erfc(z / math.sqrt(2)) / 2
+
+
+def test_shapiro_wilk(spark):
+    rng = np.random.default_rng(8)
+    groups = {f"g{n}": rng.normal(3, 2, n) for n in (3, 4, 5, 6, 9, 11, 12, 40, 700, 6000)}
+    groups |= {"skewed": rng.exponential(1, 90), "ties": rng.integers(0, 6, 50).astype(float)}
+    # A published example: weights of eleven men.
+    groups["men"] = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float)
+    data = [(k, float(v)) for k, own in groups.items() for v in own]
+    data += [("one", 1.0), ("two", 1.0), ("two", 2.0), ("flat", 5.0), ("flat", 5.0), ("flat", 5.0), ("men", None)]
+    found = {r.k: r for r in dg.shapiro_wilk(spark.createDataFrame(data, "k string, x double").repartition(4), ["k"], "x").collect()}
+    for name, own in groups.items():
+        w, p = slow_shapiro(own)
+        assert found[name].n == len(own) and found[name].w == pytest.approx(w, rel=1e-9)
+        assert found[name].p_value == pytest.approx(p, rel=1e-6, abs=1e-12)
+    assert (found["men"].w, found["men"].p_value) == pytest.approx((0.78881, 0.006704), rel=1e-3)
+    assert [(found[k].w, found[k].p_value) for k in ("one", "two", "flat")] == [(None, None)] * 3
+
+
 def test_density(spark, rows):
     clean = rows.where("t < 900")
     curve = sorted(dg.kde(clean, "y", 256).collect(), key=lambda r: r.point)
