@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import axis_by, axis_length_out
-from driftline.operators.aggregates import draw_summary, outer_quantiles
-from driftline.operators.grids import distinct_axis, expand_grid, levels
+from driftline.operators.aggregates import LOWER_P, UPPER_P, draw_summary, outer_quantiles
+from driftline.operators.grids import distinct_axis, expand_grid
+from driftline.operators.quantiles import group_quantiles
+from driftline.session import settle
 
 # The latitude axis and the step of the drift axis.
 LAT_LOW = 35.0
@@ -32,9 +34,15 @@ def prediction_grid(
     lat: str = "lat",
     full_drift_axis: bool = False,
 ) -> DataFrame:
-    """All combinations of latitude, trimmed longitude, drift, state and animal."""
-    lon_low, lon_high = trimmed_range(model_rows, lon)
-    drift_low, drift_high = trimmed_range(model_rows, drift)
+    """All combinations of latitude, trimmed longitude, drift, state and animal.
+
+    The rows are settled once; both ranges come from one pass over them.  States are
+    gathered where the grid is made, not on the driver.
+    """
+    rows = settle(model_rows.select(animal, lon, drift, state))
+    ends = group_quantiles(rows, [], {
+        f"{side}{i}": (column, p) for i, column in enumerate((lon, drift)) for side, p in (("low", LOWER_P), ("high", UPPER_P))}).first()
+    lon_low, lon_high, drift_low, drift_high = (ends[c] for c in ("low0", "high0", "low1", "high1"))
     drift_axis = (
         axis_length_out(drift_low, drift_high, AXIS_POINTS)
         if full_drift_axis
@@ -44,9 +52,9 @@ def prediction_grid(
         lat: axis_length_out(LAT_LOW, LAT_HIGH, AXIS_POINTS),
         lon: axis_length_out(lon_low, lon_high, AXIS_POINTS),
         drift: drift_axis,
-        state: levels(model_rows, state),
     }
-    return expand_grid(distinct_axis(model_rows, animal), axes)
+    states = rows.select(state).distinct().agg(F.array_sort(F.collect_list(state))).scalar()
+    return expand_grid(distinct_axis(rows, animal), axes).withColumn(state, F.explode(states))
 
 
 def interval_by(draws: DataFrame, keys: Sequence[str], value: str, back_transform: bool = False) -> DataFrame:

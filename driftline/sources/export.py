@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.joins import two_key_join
+from driftline.operators.skew import match_keys
+from driftline.session import slice_count
 from driftline.sources.delimited import NULL_TEXT
 
 ROWS_PER_FILE = 5_000_000
@@ -23,17 +25,24 @@ def export_by_key(
 ) -> None:
     """One folder of CSV files per animal.
 
-    An animal's rows are brought together once; adaptive execution joins small
-    animals in one task and splits large ones over several.  The id stays inside
-    the files, so its text is read back unchanged.  A column called ``animal``
+    Animals are dealt over all tasks, since most of the time goes into opening their
+    folders; one with more than ``rows_per_file`` rows is spread over as many tasks
+    as it has files.  The id stays inside the files, so its text is read back unchanged.  A column called ``animal``
     would be lost to the folder names and is refused.
     """
     picked = df.select(*columns) if columns else df
     if "animal" in picked.columns:
         raise ValueError("a column called animal cannot be exported")
+    spark = df.sparkSession
+    named = picked.withColumn("animal", F.col(key))
+    sizes = named.groupBy("animal").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows_per_file)
+    spread = match_keys(named, sizes, ["animal"], "left")
+    # By content, so that a task that runs again deals its rows alike.
+    piece = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in picked.columns]), F.ceil(F.col("_rows") / rows_per_file))
     (
-        picked.withColumn("animal", F.col(key))
-        .hint("rebalance", "animal")
+        spread.withColumn("_piece", F.coalesce(piece, F.lit(0)))
+        .repartition(slice_count(spark), "animal", "_piece")
+        .drop("_rows", "_piece")
         .write.mode(mode)
         .partitionBy("animal")
         .option("header", True)
