@@ -9,7 +9,7 @@ likelihood
   sum over animals of (log variance of the shift - expected squared shift / group variance) / 2
 
 with the shifts' posterior normal.  A round is one aggregate over the rows and one over
-the animals.
+the animals.  Rows are laid out by animal once, so a round moves only numbers per animal.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from driftline.session import settle
 
 # Relative distance of the second variance ratio, for the secant step.
 RATIO_STEP = 1e-3
+# An animal with more rows is cut into pieces of about so many, each weighed by a task of its own.
+PIECE_ROWS = 1_000_000
 # A variance ratio whose shifts would carry less than this share of an animal's residual is zero.
 NO_RATIO = 1e-8
 
@@ -90,10 +92,33 @@ def _left(z: Sequence[Column], beta: np.ndarray, ones: Column) -> Column:
     return value
 
 
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Keep ``rows`` partitioned and sorted by (``_key``, ``_piece``); later joins and sums go by that.
+
+    They are persisted, since a checkpoint forgets how its rows are partitioned.
+    """
+    values = [c for c in rows.columns if c != "_key"]
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
+    # At most one animal for every PIECE_ROWS rows.
+    large = F.broadcast(sizes.where(F.col("_rows") > PIECE_ROWS))
+    # By content, so that a task that runs again deals its rows alike.
+    piece = F.pmod(F.xxhash64(*values), F.ceil(F.col("_rows") / PIECE_ROWS))
+    dealt = rows.join(large, "_key", "left").select(
+        "_key", F.coalesce(piece, F.lit(0)).cast("bigint").alias("_piece"), *values)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "_key", "_piece").sortWithinPartitions("_key", "_piece").persist()
+
+
+def _with_shifts(rows: DataFrame, post: DataFrame) -> DataFrame:
+    """Rows beside their animal's posterior, which is sent to each of its pieces; the rows stay where they are."""
+    pieces = post.select("_key", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_piece"), "_m", "_v")
+    return rows.join(pieces, ["_key", "_piece"])
+
+
 def _animal_sums(rows: DataFrame, post: DataFrame | None, p: int, s: _State) -> DataFrame:
     """Weighted sums per animal: ``_w``, ``_s*``, ``_g*``, and what the degrees of freedom need."""
     z = [F.col(f"_z{i}") for i in range(p)]
-    joined = rows.join(post, "_key") if post is not None else rows.withColumns({
+    joined = _with_shifts(rows, post) if post is not None else rows.withColumns({
         "_m": F.lit(0.0), "_v": F.lit(float(s.sigma2 * s.ratio))})
     left = _left(z, s.beta, F.lit(1.0)) - F.col("_m")
     distance = (left * left + F.col("_v")) / F.lit(float(s.sigma2))
@@ -101,6 +126,7 @@ def _animal_sums(rows: DataFrame, post: DataFrame | None, p: int, s: _State) ->
     weighed = joined.withColumn("_d", distance).withColumn("_w", (nu + 1) / (nu + F.col("_d")))
     w, pull = F.col("_w"), F.col("_d") / (nu + F.col("_d"))
     return weighed.groupBy("_key").agg(
+        F.max("_piece").alias("_last"),
         F.count(F.lit(1)).alias("_n"),
         F.sum(w).alias("_w"),
         *[F.sum(w * c).alias(f"_s{i}") for i, c in enumerate(z)],
@@ -161,7 +187,7 @@ def _next_ratio(ratio: float, here: _Solved, beside: _Solved) -> float:
 def _posterior(animals: DataFrame, p: int, s: _State) -> DataFrame:
     shrink = F.lit(float(s.ratio)) / (1 + F.lit(float(s.ratio)) * F.col("_w"))
     own = shrink * _left([F.col(f"_s{i}") for i in range(p)], s.beta, F.col("_w"))
-    return animals.select("_key", own.alias("_m"), (F.lit(float(s.sigma2)) * shrink).alias("_v"))
+    return animals.select("_key", "_last", own.alias("_m"), (F.lit(float(s.sigma2)) * shrink).alias("_v"))
 
 
 def student_mixed_fit(
@@ -179,14 +205,22 @@ def student_mixed_fit(
     tolerance was met within ``max_rounds``.  A group variance that tends to zero is
     zero; degrees of freedom stay within ``NU_RANGE``, reaching a limit is flagged.
     """
-    columns, p = [*predictors, response], len(predictors) + 1
+    columns = [*predictors, response]
     complete = require(df.select(key, *columns), [key, *columns])
     m = moments(complete, columns)
     scale = np.sqrt(np.diag(m.cross) / m.n)
     scale[scale == 0] = 1.0
-    rows = settle(complete.select(F.col(key).alias("_key"), *[
+    rows = _laid_out(complete.select(F.col(key).alias("_key"), *[
         ((F.col(c) - F.lit(float(a))) / F.lit(float(b))).alias(f"_z{i}")
         for i, (c, a, b) in enumerate(zip(columns, m.mean, scale, strict=True))]))
+    try:
+        return _rounds(rows, m, scale, (response, list(predictors), key), nu, max_rounds, tol)
+    finally:
+        rows.unpersist()
+
+
+def _rounds(rows: DataFrame, m, scale, names, nu: float | None, max_rounds: int, tol: float) -> StudentMixedFit:
+    p = len(scale)
     unit = m.cross / np.outer(scale, scale)
     slopes = np.linalg.solve(unit[:-1, :-1], unit[:-1, -1])
     start = float(unit[-1, -1] - unit[:-1, -1] @ slopes) / m.n
@@ -219,7 +253,7 @@ def student_mixed_fit(
         converged = bool(np.max(np.abs(moves)) < tol)
         s, rounds = _State.of(_accelerated(points, steps), each, new, nu is None), rounds + 1
         post = _posterior(animals, p, s)
-    return _finished(rows, animals, post, s, m, scale, (response, list(predictors), key), rounds, converged)
+    return _finished(rows, animals, post, s, m, scale, names, rounds, converged)
 
 
 def _finished(rows, animals, post, s: _State, m, scale, names, rounds: int, converged: bool) -> StudentMixedFit:
@@ -244,11 +278,11 @@ def _finished(rows, animals, post, s: _State, m, scale, names, rounds: int, conv
     coef[0] += m.mean[-1]
 
     lean = F.lit(float(s.ratio)) / (1 + F.lit(float(s.ratio)) * F.col("_w"))
-    known = settle(animals.join(post, "_key").select(
+    known = settle(animals.join(post.drop("_last"), "_key").select(
         F.col("_key").alias(key), F.col("_n").alias("n"), F.array("_m").alias("shifts"),
         F.array(*[lean * F.col(c) for c in ("_w", *[f"_s{i}" for i in range(p - 1)])]).alias("lean"),
         F.array("_v").alias("spread")))
-    objective = _objective(rows, known.select(F.col(key).alias("_key"), F.col("shifts")[0].alias("_m"), F.col("spread")[0].alias("_v")), p, s)
+    objective = _objective(rows, post, p, s)
     return StudentMixedFit(
         response, predictors, key, coef, back @ cov @ back.T, float(math.sqrt(s.sigma2) * scale[-1]),
         float(math.sqrt(s.sigma2 * s.ratio) * scale[-1]), float(s.nu), s.nu in NU_RANGE,
@@ -259,7 +293,7 @@ def _finished(rows, animals, post, s: _State, m, scale, names, rounds: int, conv
 def _objective(rows: DataFrame, post: DataFrame, p: int, s: _State) -> float:
     left = _left([F.col(f"_z{i}") for i in range(p)], s.beta, F.lit(1.0)) - F.col("_m")
     distance = (left * left + F.col("_v")) / F.lit(float(s.sigma2))
-    n, logs = rows.join(post, "_key").agg(F.count(F.lit(1)), F.sum(F.log1p(distance / F.lit(float(s.nu))))).first()
+    n, logs = _with_shifts(rows, post).agg(F.count(F.lit(1)), F.sum(F.log1p(distance / F.lit(float(s.nu))))).first()
     each = math.lgamma((s.nu + 1) / 2) - math.lgamma(s.nu / 2) - math.log(s.nu * math.pi * s.sigma2) / 2
     total = n * each - (s.nu + 1) / 2 * logs
     if s.ratio:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators.conditional import predict_conditional, predict_conditional_band
 from driftline.operators.gamma_mixed import gamma_effects, gamma_mixed_fit
+from driftline.operators import student
 from driftline.operators.glm import gamma_glm, robust_t_fit
 from driftline.operators.slopes import random_slopes_fit, slopes_conditional
 from driftline.operators.special import digamma, trigamma
@@ -117,6 +118,36 @@ def test_student_mixed_without_group_variance(spark):
     assert not student_mixed_fit(frame, "y", ["x"], "k", max_rounds=1).converged
 
 
+def test_student_mixed_weighs_large_animals_in_pieces(rows, monkeypatch):
+    whole = student_mixed_fit(rows, "y", ["x1", "x2"], "k", nu=3.0, tol=1e-7)
+    monkeypatch.setattr(student, "PIECE_ROWS", 10)
+    cut = student_mixed_fit(rows, "y", ["x1", "x2"], "k", nu=3.0, tol=1e-7)
+    np.testing.assert_allclose(cut.coef, whole.coef, rtol=1e-7)
+    np.testing.assert_allclose([cut.sigma, cut.sigma_group, cut.objective], [whole.sigma, whole.sigma_group, whole.objective], rtol=1e-6)
+    shifts = [{r.k: (r.n, r.effect) for r in student_effects(f).collect()} for f in (whole, cut)]
+    assert shifts[0].keys() == shifts[1].keys() and len(shifts[0]) == len(USED)
+    for k, (n, effect) in shifts[0].items():
+        assert shifts[1][k] == (n, pytest.approx(effect, abs=1e-6))
+
+
+def test_student_mixed_rounds_leave_the_rows_where_they_are(spark, capsys):
+    frame = spark.createDataFrame([(i % 7, float(i), float(i * i % 11)) for i in range(70)], "_key int, _z0 double, _z1 double")
+    post = spark.createDataFrame([(k, 0, 0.1, 0.2) for k in range(7)], "_key int, _last bigint, _m double, _v double")
+    state = student._State(np.array([0.0, 0.1]), 1.0, 1.0, 4.0)
+    laid = student._laid_out(frame)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        laid.count()
+        capsys.readouterr()
+        student._animal_sums(laid, post, 2, state).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        laid.unpersist()
+    plan = capsys.readouterr().out.split("InMemoryTableScan")[0]
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # the sums, after the join
+
+
 def gamma_integrals(beta, shape, tau2, laplace):
     """Log likelihood: every animal's integral by Laplace's approximation or on a fine grid."""
     total = 0.0
