@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from driftline.functions import growth as g
 from driftline.plans.analysis import apply_overrides, date_segments
 from driftline.queries.registry import WHISKERS, query, rnd, rounded, sql_rnd
+from driftline.session import slice_count
 
 RATE = "(exp(-2.052821::double) * pow({0}, -0.9204057::double))"
 CHAIN = f"""
@@ -85,7 +86,9 @@ def q_growth_curve(t):
         "p_partkey", (F.lit(4.0) + F.col("p_size") / 5.0).alias("asymptote"), F.col("p_size").alias("duration")
     )
     tenths = F.explode(F.sequence(F.lit(10), F.col("duration") * 10))
-    days = whisker.where(F.col("duration") >= 1).withColumn("tenth", tenths).withColumn("day", F.col("tenth") / 10.0)
+    # A part becomes hundreds of rows: the few files of parts are dealt over all tasks first.
+    dealt = whisker.where(F.col("duration") >= 1).repartition(slice_count(t.spark))
+    days = dealt.withColumn("tenth", tenths).withColumn("day", F.col("tenth") / 10.0)
     length = g.length_at(F.col("day"), F.col("asymptote"), F.lit(g.CURVE_RATE), F.lit(0.0))
     return days.select("p_partkey", "day", rnd(length).alias("length"))
 

@@ -10,6 +10,8 @@ from driftline.plans.analysis import analysis_table, daily_drift, daily_track, d
 from driftline.plans.intervals import interval_by, prediction_grid
 from driftline.plans.study import overrides_table
 from driftline.plans.telemetry import drift_dives, environment_at_tags
+from driftline.queries import QUERIES
+from driftline.session import slice_count
 
 SEGMENTS = (
     "seal_id string, segment int, d13c double, d15n double, length_recovery double, recovery_days double, "
@@ -110,3 +112,12 @@ def test_exported_dive_columns(spark):
     dives = spark.createDataFrame([("a", 1, 0.1, 2, "drift", 7), ("a", 2, 0.1, 1, "other", 7)], "SealID string, DiveNumber int, DriftRate double, DiveType int, DiveTypeName string, extra int")
     rows = drift_dives(dives).collect()
     assert len(rows) == 1 and "extra" not in rows[0].asDict()
+
+
+def test_growth_curve_is_dealt_over_all_tasks(spark, tmp_path):
+    part = spark.createDataFrame([(1, 2), (2, 1), (3, None), (None, 1), (4, 0)], "p_partkey bigint, p_size int")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    curve = QUERIES["q_growth_curve"](spark, str(tmp_path))
+    assert curve.rdd.getNumPartitions() == slice_count(spark)
+    assert sorted((r.p_partkey or 0, r.day) for r in curve.collect()) == [
+        (0, 1.0), *[(1, i / 10) for i in range(10, 21)], (2, 1.0)]
