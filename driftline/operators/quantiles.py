@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftline.operators.skew import SLICE, match_keys, range_slices, slice_offsets
+from driftline.session import short_scans
 
 # Plain aggregates that the counted values give without another scan.
 FACTS = ("count", "mean", "min", "max")
@@ -40,7 +41,9 @@ def group_quantiles(
     # NULL values weigh nothing, but keep their group in the result.
     weight = F.when(F.col("_v").isNull(), 0).otherwise(F.count(F.lit(1)))
     copies = df.select(*keys, F.inline(values)).groupBy(*keys, "_c", "_v").agg(weight.alias("_copies"))
-    sliced = range_slices(copies, [*keys, "_c"], [F.col("_v").asc()])
+    # The slices are settled inside, so counting sees no more rows a task however large the input is.
+    with short_scans(df.sparkSession):
+        sliced = range_slices(copies, [*keys, "_c"], [F.col("_v").asc()])
     facts = sliced.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), *[_fact(kind, number[c]).alias(n) for n, (c, kind) in extra.items()]
     )
@@ -76,22 +79,31 @@ def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 def _ranked(sliced: DataFrame, keys: Sequence[str], asks: Sequence[tuple[str, int, float]]) -> DataFrame:
     group = [*keys, "_c"]
     offsets = slice_offsets(sliced, group, F.col("_copies"), "_n")
-    asked = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("q"), F.lit(c).alias("c"), F.lit(float(p)).alias("p")) for n, c, p in asks
-    ]))
-    # Only slices that hold one of the two ranks of a quantile are looked into.
-    targets = (
-        offsets.withColumn("_ask", asked)
-        .where(F.col("_ask.c") == F.col("_c"))
-        .withColumn("_place", (F.col("_n_total") - 1) * F.col("_ask.p"))
+    every = F.array(*[
+        F.struct(F.lit(n).alias("q"), F.lit(c).alias("c"), ((F.col("_n_total") - 1) * F.lit(float(p))).alias("place"))
+        for n, c, p in asks
+    ])
+
+    def asked(first: Column, end: Column) -> Column:
+        """Quantiles of the row's column with one of their two ranks in [first, end)."""
+        return F.filter(every, lambda a: (
+            (a["c"] == F.col("_c")) & (F.ceil(a["place"]) >= first) & (F.floor(a["place"]) < end)
+        ))
+
+    # Only slices that hold one of the two ranks of a quantile are looked into, each row once for all quantiles.
+    here = asked(F.col("_n_before"), F.col("_n_before") + F.col("_n_here"))
+    targets = offsets.where(F.size(here) > 0).drop("_n_here")
+    rows = match_keys(sliced, targets, [*group, SLICE], "inner")
+    running = Window.partitionBy(*group, SLICE).orderBy("_v")
+    upto = F.col("_n_before") + F.sum("_copies").over(running)
+    placed = (
+        rows.withColumn("_upto", upto)
+        .withColumn("_from", F.col("_upto") - F.col("_copies"))
+        .withColumn("_ask", F.explode(asked(F.col("_from"), F.col("_upto"))))
+        .withColumn("_place", F.col("_ask.place"))
         .withColumn("_lo", F.floor("_place"))
         .withColumn("_hi", F.ceil("_place"))
-        .where((F.col("_hi") >= F.col("_n_before")) & (F.col("_lo") < F.col("_n_before") + F.col("_n_here")))
     )
-    rows = match_keys(sliced, targets, [*group, SLICE], "inner")
-    running = Window.partitionBy(*group, SLICE, "_ask.q").orderBy("_v")
-    upto = F.col("_n_before") + F.sum("_copies").over(running)
-    placed = rows.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_copies"))
 
     def value_at(rank: str) -> Column:
         holds = (F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_upto"))

@@ -8,9 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPLIT = "spark.sql.files.maxPartitionBytes"
+# Most bytes of a file that one task of :func:`short_scans` reads.
+SHORT_SPLIT = 16 << 20
+
 # Range slices of an ordered table, for each shuffle partition of the session.
 SLICES_PER_PARTITION = 2
 
@@ -39,6 +45,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def short_scans(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside read files in short splits.
+
+    Spark's splits grow with the input up to 128 MB, and with them what a map-side
+    combination of mostly distinct values holds in memory.
+    """
+    before = spark.conf.get(SPLIT)
+    spark.conf.set(SPLIT, f"{SHORT_SPLIT}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(SPLIT, before)
+
+
 def slice_count(spark: SparkSession) -> int:
     return SLICES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -311,3 +311,28 @@ def test_daily_position_holds_no_group_in_one_buffer(spark):
     made = daily_position(df, "k", "d", {"x": "mx", "y": "my"})
     assert "percentile" not in made._jdf.queryExecution().toString().lower()
     assert [(r.mx, r.my) for r in made.collect()] == [(499.5, -500.0)]
+
+
+def test_values_are_counted_in_short_splits_and_ranked_once(spark, monkeypatch):
+    from driftline import session
+    from driftline.operators import quantiles
+
+    seen = []
+
+    def watched(*args):
+        seen.append(spark.conf.get(session.SPLIT))
+        return range_slices(*args)
+
+    range_slices = quantiles.range_slices
+    monkeypatch.setattr(quantiles, "range_slices", watched)
+    before = spark.conf.get(session.SPLIT)
+    df = spark.createDataFrame([("a", float(i)) for i in range(41)] + [("b", None)], "k string, x double")
+    found = group_quantiles(df, ["k"], {"lo": ("x", 0.025), "mid": ("x", 0.5), "hi": ("x", 0.975)}, {"n": ("x", "count")})
+    assert seen == [f"{session.SHORT_SPLIT}b"] and spark.conf.get(session.SPLIT) == before
+    # One window row for a value, however many quantiles are asked for.
+    windows = [w for w in found._jdf.queryExecution().analyzed().toString().split("\n") if "_copies" in w and "windowspec" in w]
+    assert windows and not any("_ask" in w for w in windows)
+    assert {tuple(r) for r in found.collect()} == {("a", 41, 1.0, 20.0, 39.0), ("b", 0, None, None, None)}
+    with pytest.raises(ZeroDivisionError), session.short_scans(spark):
+        1 / 0
+    assert spark.conf.get(session.SPLIT) == before
