@@ -26,6 +26,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Folders listed by tasks of many folders each, not one by one.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
 }
 
 

@@ -121,3 +121,18 @@ def test_routes_and_materialise(spark, tmp_path):
     assert [r.k for r in tracks.collect()] == ["b"]
     kept = materialise(dives, str(tmp_path / "dives"), ["k"])
     assert kept.schema == dives.schema and kept.count() == 2
+
+
+def test_exports_write_no_checksum_files_and_are_listed_in_few_tasks(spark, tmp_path):
+    rows = [(f"a{i}", i) for i in range(250)]
+    export_by_key(spark.createDataFrame(rows, "SealID string, n int"), str(tmp_path / "out"), "SealID")
+    assert not list((tmp_path / "out").rglob("*.crc"))
+    assert len(list((tmp_path / "out").glob("animal=*/part-*.csv"))) == 250
+    group = "listing"
+    spark.sparkContext.setJobGroup(group, group)
+    back = read_delimited(spark, str(tmp_path / "out"), "SealID string, n int")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert stages and all(tracker.getStageInfo(s).numTasks <= 200 for s in stages)
+    assert sorted((r.SealID, r.n) for r in back.collect()) == sorted(rows)
