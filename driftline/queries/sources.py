@@ -111,7 +111,7 @@ SELECT seal_id, n, {sql_rnd('lat', 4)} AS lat_sum, first_id FROM d""",
 def q_export_by_animal(t):
     path = scratch_path(t.spark, "export")
     export_by_key(raw_track(t), path, "SealID", ["FixID", "SealID", "JulDate", "Lat", "Lon"])
-    back = read_delimited(t.spark, path, "FixID bigint, SealID string, JulDate double, Lat double, Lon double")
+    back = read_delimited(t.spark, path, "FixID bigint, SealID string, JulDate double, Lat double, Lon double", below=True)
     totals = back.groupBy(F.col("SealID").alias("seal_id")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("Lat").alias("lat_sum"), F.min("FixID").alias("first_id")
     )
@@ -142,8 +142,8 @@ def q_conditional_export(t):
     renamed = [d.withColumnRenamed("animal", "seal") for d in (meta, dive_stat, dive_type, track)]
     sinks = export_routes(*route_by_completeness(*renamed, "seal", "complete"), scratch_path(t.spark, "routes"), "seal")
     kind = meta.schema["animal"].dataType.simpleString()
-    dives = read_delimited(t.spark, sinks[0], f"seal {kind}, dive_number bigint, value double, day date")
-    others = read_delimited(t.spark, sinks[1], f"seal {kind}, fix_id bigint, day date")
+    dives = read_delimited(t.spark, sinks[0], f"seal {kind}, dive_number bigint, value double, day date", below=True)
+    others = read_delimited(t.spark, sinks[1], f"seal {kind}, fix_id bigint, day date", below=True)
     animal = F.col("seal").alias("animal")
     return dives.select(
         F.lit("dives").alias("route"), animal, F.col("dive_number").alias("fix_id"), "value", "day"

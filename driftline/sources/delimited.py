@@ -15,15 +15,24 @@ NULL_TEXT = "NA"
 
 
 def read_delimited(
-    spark: SparkSession, path, schema: T.StructType | str, sep: str = ",", header: bool = True
+    spark: SparkSession,
+    path,
+    schema: T.StructType | str,
+    sep: str = ",",
+    header: bool = True,
+    below: bool = False,
 ) -> DataFrame:
-    """Read CSV with a given schema.  ``NA`` and NaN become NULL; blanks in ids are kept."""
+    """Read CSV with a given schema.  ``NA`` and NaN become NULL; blanks in ids are kept.
+
+    ``below`` takes the files of all subfolders without making columns of folder names.
+    """
     frame = (
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", header)
         .option("nullValue", NULL_TEXT)
         .option("encoding", "UTF-8")
+        .option("recursiveFileLookup", below)
         .csv(path)
     )
     return nan_as_null(frame)

@@ -136,3 +136,11 @@ def test_exports_write_no_checksum_files_and_are_listed_in_few_tasks(spark, tmp_
     stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
     assert stages and all(tracker.getStageInfo(s).numTasks <= 200 for s in stages)
     assert sorted((r.SealID, r.n) for r in back.collect()) == sorted(rows)
+
+
+def test_exports_are_read_without_columns_of_folder_names(spark, tmp_path):
+    rows = [("X 1 ", 1), ("X 1 ", 1), ("0012", 2), ("A/B=c", 3), (None, 4), ("x", None)]
+    export_by_key(spark.createDataFrame(rows, "SealID string, n int"), str(tmp_path / "out"), "SealID")
+    back = read_delimited(spark, str(tmp_path / "out"), "SealID string, n int", below=True)
+    assert back.columns == ["SealID", "n"]
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
