@@ -13,9 +13,9 @@ from driftline.session import slice_count
 from driftline.sources.delimited import NULL_TEXT
 
 ROWS_PER_FILE = 5_000_000
-# Hadoop's checksummed local file system starts four chmod processes for each file it
-# creates when its native library is missing, the raw one none.  Other file systems
-# (hdfs, s3a) are not concerned.
+# Without its native library Hadoop's local file system starts a chmod process for each
+# file, checksum file and folder it makes.  The plain one writes no checksum files.
+# Other file systems (hdfs, s3a) are not concerned.
 PLAIN_LOCAL_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
