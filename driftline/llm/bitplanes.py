@@ -18,6 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from driftline.llm.tokens import PieceEncoder
+from driftline.llm.tokens import BYTE_LETTERS, CHUNK_ENTRIES, Kept, PieceEncoder, pre_tokens
 
 BLOCK_IDS = 65_536
 PLANES = 4
@@ -70,10 +71,38 @@ def from_planes(planes: list[bytes], n_ids: int, decompressor: zstandard.ZstdDec
     return columns.tobytes()
 
 
+class BatchEncoder:
+    """Packed ids of whole texts, a batch at a time.
+
+    Ordinary texts are cut into pre-tokens together; each distinct one of a batch
+    is looked up once, in a bounded cache or the library, and Arrow puts the ids in
+    the order of the texts.  Any other text is encoded by itself.
+    """
+
+    def __init__(self, tokenizer: str):
+        self.one = PieceEncoder(tokenizer, packed, b"".join)
+        self.known = Kept(self._ids, CHUNK_ENTRIES)
+
+    def _ids(self, piece: bytes) -> bytes:
+        return packed([t.id for t in self.one.model.tokenize(piece.decode("latin-1").translate(BYTE_LETTERS))])
+
+    def texts(self, batch: pa.Array) -> list[bytes]:
+        rows = batch.to_pylist()
+        plain = [self.one.plain(text) for text in rows]
+        pieces, places = pre_tokens(batch.filter(pa.array(plain, pa.bool_())))
+        coded = pieces.dictionary_encode()
+        each = pa.array([self.known[p] for p in coded.dictionary.to_pylist()], pa.large_binary())
+        stream = each.take(coded.indices)
+        data = memoryview(stream.buffers()[2] or b"")
+        ends = np.frombuffer(stream.buffers()[1], np.int64)[places].tolist() if len(stream) else []
+        made = (bytes(data[a:b]) for a, b in pairwise(ends))
+        return [next(made) if is_plain else self.one.text(text) for text, is_plain in zip(rows, plain, strict=True)]
+
+
 @lru_cache(maxsize=1)
-def _worker_encoder(tokenizer: str) -> PieceEncoder:
+def _worker_encoder(tokenizer: str) -> BatchEncoder:
     """One encoder for all tasks of a worker, so its caches stay warm."""
-    return PieceEncoder(tokenizer, packed, b"".join)
+    return BatchEncoder(tokenizer)
 
 
 class _Shard:
@@ -135,8 +164,8 @@ def write_ids(
         encoder = _worker_encoder(tokenizer)
         shard = _Shard(TaskContext.get().partitionId(), block_ids)
         for batch in batches:
-            for doc_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard.add(doc_key, encoder.text(text) + end)
+            for doc_key, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1)), strict=True):
+                shard.add(doc_key, ids + end)
             if made := list(shard.blocks()):
                 yield pa.RecordBatch.from_pylist(made, schema=_BLOCK_ARROW)
         if made := list(shard.blocks(last=True)):

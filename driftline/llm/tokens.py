@@ -10,7 +10,8 @@ Texts are cut where the library itself would cut them.  A text of ordinary
 Latin letters, digits and punctuation whose spaces stand alone falls apart at
 its spaces; any other text goes through the library's own pre-tokenizer.  A
 tokenizer whose file asks for more than byte-level pre-tokens (a normalizer,
-prefix spaces, another pre-tokenizer) encodes whole texts.
+prefix spaces, another pre-tokenizer) encodes whole texts.  ``pre_tokens`` cuts
+a whole batch of ordinary texts at once, whatever their spaces.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,54 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ–—‘’“”…«»¡¿€]")
 STOPS = (".", ",", ";", ":", "!", "?")
 SPACE_PAIRS = ("  ", " \n", " \t", " \r")
+CONTRACTION = re.compile(rb"'(?:s|t|re|ve|m|ll|d)")
+MARK, LETTER, DIGIT, SPACE = range(4)
+
+
+def _kind(byte: int) -> int:
+    """What the first byte of a character of PLAIN begins."""
+    if byte >= 0x80:
+        return LETTER if 0xC3 <= byte <= 0xC9 else MARK
+    char = chr(byte)
+    return LETTER if char.isalpha() else DIGIT if char.isdigit() else SPACE if char.isspace() else MARK
+
+
+KINDS = bytes(map(_kind, range(256)))
+
+
+def pre_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of texts of PLAIN characters, text after text, as UTF-8 bytes; where each text's begin.
+
+    The places have one more entry, the number of all pre-tokens.  The rule is
+    PIECE's, applied to the bytes of all texts at once; none may be NULL.
+    """
+    texts = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, n = bounds[0], int(bounds[-1] - bounds[0])
+    raw = texts.buffers()[2][first : first + n].to_pybytes() if n else b""
+    byte, kind = np.frombuffer(raw, np.uint8), np.frombuffer(bytearray(raw).translate(KINDS), np.uint8)
+    if not raw.isascii():
+        inner = np.flatnonzero((byte & 0xC0) == 0x80)
+        for _ in range(2):  # characters of PLAIN have three bytes at most
+            kind[inner] = kind[inner - 1]
+    begins = np.zeros(n + 1, bool)
+    begins[bounds - first] = True
+    cut = begins.copy()
+    cut[1:n] |= kind[1:] != kind[:-1]
+    # The last of the white space before a word stands alone or, if a space, begins the word.
+    space = kind == SPACE
+    last = np.flatnonzero(space[:-1] & ~space[1:] & ~begins[1:n])
+    cut[last] = True
+    cut[last + 1] = byte[last] != 0x20
+    if short := [m.span() for m in CONTRACTION.finditer(raw)]:
+        at, end = np.array(short).T
+        whole = cut[at] & ~begins[at + 1] & ~begins[end - 1]
+        cut[at[whole] + 1] = False
+        cut[end[whole]] = True
+    cuts = np.flatnonzero(cut)
+    pieces = pa.Array.from_buffers(
+        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+    return pieces, np.searchsorted(cuts, bounds - first)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -139,6 +190,11 @@ class PieceEncoder:
         parts = map(self.spaced.__getitem__, rest)
         return self.join((self._chunk(first), *parts)) if first else self.join(parts)
 
+    def plain(self, text: str | None) -> bool:
+        """Whether ``pre_tokens`` may cut the text: no special strings, only characters of PLAIN."""
+        return (self.by_piece and bool(text) and not NOT_PLAIN.search(text)
+                and (self.marks is None or not self.marks.search(text)))
+
     def text(self, text: str | None):
         if not text:
             return self.join(())

@@ -4,11 +4,12 @@ from functools import reduce
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from driftline.llm import bitplanes
+from driftline.llm import bitplanes, tokens
 from driftline.llm.queries import QUERIES
 from driftline.session import scratch_path
 
@@ -71,3 +72,25 @@ def test_empty_table(session, odd_docs):
     path = scratch_path(session, "ids")
     bitplanes.write_ids(odd_docs.limit(0), path, PATH)
     assert bitplanes.document_digests(session, path).collect() == []
+
+
+def test_batch_looks_up_each_pre_token_once(monkeypatch):
+    """Words with ever other signs behind them are no work of their own for the cache or the library."""
+    draw = random.Random(4)
+    words, signs = [f"w{'abcdefghij'[i % 10]}{'xyz'[i // 10]}" for i in range(30)], ["", ".", "!!", "###", ".\nNow", "'s"]
+    texts = ["Now " + " ".join(draw.choice(words) + draw.choice(signs) for _ in range(100)) for _ in range(200)]
+    encoder, asked = bitplanes._worker_encoder.__wrapped__(PATH), []
+    encoder.known = tokens.Kept(lambda piece: asked.append(piece) or encoder._ids(piece), 10_000)
+    monkeypatch.setattr(encoder.one, "text", None)  # none of these is encoded by itself
+    got = encoder.texts(pa.array(texts))
+    assert got == [bitplanes.packed(ids_of(t)[:-1]) for t in texts]
+    assert len(asked) == len(set(asked)) <= 1 + len(words) + len(signs) + 1
+
+
+def test_batches_of_odd_texts(odd_docs, monkeypatch):
+    monkeypatch.setattr(bitplanes, "CHUNK_ENTRIES", 2)
+    encoder = bitplanes.BatchEncoder(PATH)
+    texts = [r.text for r in odd_docs.collect()]
+    for some in (texts, texts[1:2] + texts[:1], texts[5:8], texts[10:11]):
+        assert encoder.texts(pa.array(some, pa.string())) == [bitplanes.packed(ids_of(t)[:-1]) for t in some]
+    assert encoder.texts(pa.array(texts, pa.string()).slice(4, 5)) == [bitplanes.packed(ids_of(t)[:-1]) for t in texts[4:9]]

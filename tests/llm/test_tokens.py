@@ -1,4 +1,7 @@
+import random
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -43,3 +46,19 @@ def test_small_caches_change_nothing(odd_docs, monkeypatch):
 
 def test_empty_table(session, odd_docs):
     assert tokens.token_counts(odd_docs.limit(0), PATH).collect() == []
+
+
+def test_pre_tokens_equal_library():
+    library = Tokenizer.from_file(PATH).pre_tokenizer
+    to_byte = {letter: byte for byte, letter in tokens.BYTE_LETTERS.items()}
+    bits = ["a", "B", "re", "l", "é", "ɏ", "1", " ", " ", "  ", "\n", "\t", "\r", "'", "'s", "'r", "'ve", "'l", "_", ".", "–", "«"]
+    draw = random.Random(3)
+    texts = ["", "'", "s", "x'", "ll", "a \n", " b", *("".join(draw.choices(bits, k=draw.randrange(12))) for _ in range(20_000))]
+    assert not any(tokens.NOT_PLAIN.search(t) for t in texts)
+    for some in (pa.array(texts), pa.array(texts).slice(3, 40), pa.array(texts[:1]), pa.array([], pa.string())):
+        pieces, places = tokens.pre_tokens(some)
+        got = pieces.to_pylist()
+        for text, first, last in zip(some.to_pylist(), places, places[1:], strict=False):
+            wanted = [bytes(to_byte[c] for c in letters) for letters, _ in library.pre_tokenize_str(text)]
+            assert got[first:last] == wanted, text
+        assert len(places) == len(some) + 1 and places[-1] == len(got)
