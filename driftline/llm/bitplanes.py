@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from driftline.llm.tokens import BYTE_LETTERS, CHUNK_ENTRIES, Kept, PieceEncoder, pre_tokens
+from driftline.llm.tokens import BYTE_LETTERS, CHUNK_ENTRIES, PIECE_ENTRIES, Kept, PieceEncoder, pre_tokens
 
 BLOCK_IDS = 65_536
 PLANES = 4
@@ -81,6 +81,7 @@ class BatchEncoder:
 
     def __init__(self, tokenizer: str):
         self.one = PieceEncoder(tokenizer, packed, b"".join)
+        self.one.spaced.limit = PIECE_ENTRIES  # few texts get there
         self.known = Kept(self._ids, CHUNK_ENTRIES)
 
     def _ids(self, piece: bytes) -> bytes:
@@ -91,8 +92,8 @@ class BatchEncoder:
         plain = [self.one.plain(text) for text in rows]
         pieces, places = pre_tokens(batch.filter(pa.array(plain, pa.bool_())))
         coded = pieces.dictionary_encode()
-        each = pa.array([self.known[p] for p in coded.dictionary.to_pylist()], pa.large_binary())
-        stream = each.take(coded.indices)
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        stream = pa.array([self.known[p] for p in distinct], pa.large_binary()).take(coded.indices)
         data = memoryview(stream.buffers()[2] or b"")
         ends = np.frombuffer(stream.buffers()[1], np.int64)[places].tolist() if len(stream) else []
         made = (bytes(data[a:b]) for a, b in pairwise(ends))
@@ -226,6 +227,8 @@ def joined_crc(first: int, second: int, second_bytes: int) -> int:
 @F.pandas_udf(LongType())
 def _whole_crc(pieces: pd.Series) -> pd.Series:
     def one(parts) -> int:
+        if parts is None:  # a document of one piece, whose CRC is known
+            return 0
         crc = int(parts[0]["crc"])
         for part in parts[1:]:
             crc = joined_crc(crc, int(part["crc"]), 4 * int(part["n"]))
@@ -244,6 +247,8 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("shard", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("_before"))
     pieces = F.struct("block", "n", "crc")
+    several = F.size("_pieces") > 1
+    joined = _whole_crc(F.when(several, F.col("_pieces")))
     return (
         read_pieces(spark, path, with_ids=False)
         .groupBy("shard", "doc_start", "doc_key", "doc_ids")
@@ -251,6 +256,7 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
         .join(before, "shard")
         .select(
             "doc_key", (F.col("_before") + F.col("doc_start")).alias("start"),
-            F.col("doc_ids").alias("n_tokens"), _whole_crc("_pieces").alias("ids_crc32"),
+            F.col("doc_ids").alias("n_tokens"),
+            F.when(several, joined).otherwise(F.col("_pieces")[0]["crc"]).alias("ids_crc32"),
         )
     )

@@ -87,7 +87,7 @@ def pre_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         cut[end[whole]] = True
     cuts = np.flatnonzero(cut)
     pieces = pa.Array.from_buffers(
-        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+        pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64, copy=False)), pa.py_buffer(raw)])
     return pieces, np.searchsorted(cuts, bounds - first)
 
 
