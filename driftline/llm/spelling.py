@@ -14,6 +14,9 @@ odd power, from which the hash of every neighbour follows by a few additions; tw
 reduced words with one hash only cost a verification.  The number of symbols grows
 slowly with the vocabulary, which keeps the words that share a reduced word few; it
 changes no result.
+
+Nothing but the bitmap is broadcast: joins of tables as long as the vocabulary are
+sort-merge joins, whatever size Spark supposes the tables to have.
 """
 
 from __future__ import annotations
@@ -54,6 +57,15 @@ def _code(symbol: int) -> int:
 CODES = np.array([_code(s) for s in range(MOST_SYMBOLS)], dtype=np.uint64)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: Column | str, how: str = "inner") -> DataFrame:
+    """A join that broadcasts neither side.
+
+    Spark sizes a written table by its compressed files, and rows that Python makes as if
+    they were as many as those it reads; a broadcast chosen by that can fill the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def runs(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key`` and ``run`` for every maximal run of letters in the whole texts, only A-Z lower-cased."""
     found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(LETTERS), F.lit(0))
@@ -188,7 +200,7 @@ def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mine = neighbours(hashed.repartition(parts), many, held)
     theirs = hashed.select(F.col("own").alias("meet"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    return mine.join(theirs, "meet").where(
+    return _merged(mine, theirs, "meet").where(
         (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)).drop("meet")
 
 
@@ -207,13 +219,13 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
             F.min(F.struct((-F.col("other_n")).alias("down"), F.col("other").alias("form"))).alias("best")), "near")
     chosen = best.select(
         F.col("word").alias("_word"), "n_near", F.col("best.form").alias("_form"), (-F.col("best.down")).alias("_form_n"))
-    tied = stored.join(chosen, stored["word"] == chosen["_word"], "left").drop("_word")
+    tied = _merged(stored, chosen, stored["word"] == chosen["_word"], "left").drop("_word")
     follows = F.col("_form_n") >= ratio * F.col("n")
     named = written(tied.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(follows, F.col("_form")).alias("form"), F.when(follows, F.col("_form_n")).alias("form_n")), "forms")
     roots = _roots(named.where(F.col("form").isNotNull()).select("word", "form"), _steps(named, ratio))
-    out = named.join(roots, named["word"] == roots["_from"], "left")
+    out = _merged(named, roots, named["word"] == roots["_from"], "left")
     return out.select("word", "form", F.coalesce("_root", "word").alias("root"), "n", "n_near", "form_n")
 
 
@@ -229,6 +241,6 @@ def _roots(links: DataFrame, steps: int) -> DataFrame:
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         current = written(current, "roots")
         ahead = current.select(F.col("_from").alias("_at"), F.col("_root").alias("_next"))
-        current = current.join(ahead, current["_root"] == ahead["_at"], "left").select(
+        current = _merged(current, ahead, current["_root"] == ahead["_at"], "left").select(
             "_from", F.coalesce("_next", "_root").alias("_root"))
     return current

@@ -87,6 +87,27 @@ def test_symbols_and_bitmap_change_nothing(session, words, monkeypatch, symbols,
     assert pairs == sorted((a, b) for a in words for b in words if near(a, b))
 
 
+def test_no_join_is_broadcast(session, words, monkeypatch):
+    """Sizes that Spark supposes, all of them below its limit here, never send a table to the driver."""
+    plans, write = [], spelling.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "written", written)
+    before = session.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        made = spelling.variants(session.createDataFrame(list(words.items()), "word string, n long"))
+        assert sorted(tuple(r) for r in made.collect()) == wanted(words)
+    finally:
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("word", ["a", "ab", "aaaa", "abcabc", "zzyzzyyy", "é𝒶bc"])
 def test_neighbourhood_is_whole_and_made_once(word):
     symbols = 3
